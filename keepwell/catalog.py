@@ -102,3 +102,854 @@ def b13_feature_transformer(spark, sf_dir):
     t = st(spark, sf_dir)
     out = FeatureEngineer().transform(t.mart)
     return out.select("customer_id", *_EXACT_ENG, *r6("log_api_usage", "log_monthly_revenue"))
+
+
+# ------------------------------------------------------------------ B: scores
+
+
+@register("b18_baseline_score", chain("scored", f"SELECT customer_id, {s6('churn_probability')} FROM scored"))
+def b18_baseline_score(spark, sf_dir):
+    return st(spark, sf_dir).scored.select("customer_id", *r6("churn_probability"))
+
+
+_HEUR_PARTS = [
+    "0.25e0 * (days_since_last_login / 90e0)",
+    "0.20e0 * (ticket_count / 20e0)",
+    "0.15e0 * greatest(0e0, -support_sentiment)",
+    "0.20e0 * (billing_page_visits / 20e0 + downgrade_page_visits / 10e0) / 2",
+    "0.10e0 * greatest(0e0, 1 - sessions_30d / 30e0)",
+]
+_HEUR_P = (
+    f"least(greatest({' + '.join(_HEUR_PARTS)} - 0.10e0 * (tenure_months / 84e0) + 0.1e0, 0.05e0), 0.97e0)"
+)
+_HEUR_LABEL = (
+    "CASE WHEN heuristic_probability > 0.7e0 THEN 'CRITICAL' WHEN heuristic_probability > 0.5e0 THEN 'HIGH'"
+    " WHEN heuristic_probability > 0.3e0 THEN 'MEDIUM' ELSE 'LOW' END"
+)
+
+
+@register("b19_heuristic_score", chain("mart", f"SELECT customer_id, {_HEUR_P} AS heuristic_probability FROM mart"))
+def b19_heuristic_score(spark, sf_dir):
+    from .operators.scoring import heuristic_probability
+
+    return st(spark, sf_dir).mart.select("customer_id", heuristic_probability().alias("heuristic_probability"))
+
+
+_DRIVER_NAMES = ["Days since login", "Support tickets", "Negative sentiment", "Billing page visits", "Low engagement"]
+_B20_UNION = " UNION ALL ".join(
+    f"SELECT customer_id, {i} AS pos, '{n}' AS driver, {e} AS impact FROM mart"
+    for i, (n, e) in enumerate(zip(_DRIVER_NAMES, _HEUR_PARTS))
+)
+
+
+@register(
+    "b20_heuristic_drivers",
+    chain(
+        "mart",
+        f"SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY impact DESC, pos) AS INT)"
+        f" AS driver_rank, driver, impact FROM ({_B20_UNION}) u",
+    ),
+)
+def b20_heuristic_drivers(spark, sf_dir):
+    from .operators.scoring import heuristic_drivers
+
+    return heuristic_drivers(st(spark, sf_dir).mart)
+
+
+@register("b21_risk_level", chain("scored", "SELECT customer_id, churn_risk_level FROM scored2"))
+def b21_risk_level(spark, sf_dir):
+    return st(spark, sf_dir).scored.select("customer_id", "churn_risk_level")
+
+
+@register(
+    "b22_heuristic_label",
+    chain(
+        "mart",
+        f"SELECT customer_id, heuristic_probability, {_HEUR_LABEL} AS heuristic_risk_label"
+        f" FROM (SELECT customer_id, {_HEUR_P} AS heuristic_probability FROM mart) h",
+    ),
+)
+def b22_heuristic_label(spark, sf_dir):
+    from .operators.scoring import with_heuristic
+
+    return with_heuristic(st(spark, sf_dir).mart).select("customer_id", "heuristic_probability", "heuristic_risk_label")
+
+
+@register(
+    "b23_display_currency",
+    chain(
+        "impacted",
+        "SELECT customer_id, round_even(monthly_revenue * 83e0, 0) AS monthly_revenue_display,"
+        " round_even(expected_revenue_saved * 83e0, 0) AS expected_revenue_saved_display,"
+        " round_even(clv * 83e0, 0) AS clv_display, round_even(action_cost_usd * 83e0, 0) AS action_cost_display"
+        " FROM impacted",
+    ),
+)
+def b23_display_currency(spark, sf_dir):
+    from .operators.scoring import display_currency
+
+    d = st(spark, sf_dir).decided.select("customer_id", "monthly_revenue", "expected_revenue_saved", "clv", "action_cost_usd")
+    return display_currency(d)
+
+
+# ------------------------------------------------------------------ C: filters
+
+
+@register(
+    "c01_high_risk_filter",
+    chain("scored", f"SELECT customer_id, {s6('churn_probability')} FROM scored WHERE churn_probability >= 0.5e0"),
+)
+def c01_high_risk_filter(spark, sf_dir):
+    return st(spark, sf_dir).high_risk.select("customer_id", *r6("churn_probability"))
+
+
+_EXPLORER_COLS = [
+    "customer_id", "subscription_type", "monthly_revenue", "tenure_months", "churn_probability", "churn_archetype",
+    "archetype_name", "action", "urgency", "expected_revenue_saved", "clv_tier",
+]
+
+
+@register(
+    "c03_explorer_filter",
+    chain(
+        "impacted",
+        f"SELECT {', '.join(c for c in _EXPLORER_COLS if c != 'churn_probability')}, {s6('churn_probability')}"
+        " FROM impacted WHERE churn_probability >= 0.5e0 AND churn_archetype IN ('A','B','C','D')"
+        " AND urgency IN ('critical','high') ORDER BY churn_probability DESC, customer_id LIMIT 200",
+    ),
+)
+def c03_explorer_filter(spark, sf_dir):
+    from .operators.reports import explorer
+
+    out = explorer(st(spark, sf_dir).decided, 0.5, list("ABCD"), ["critical", "high"], limit=200)
+    return out.select(*[c for c in out.columns if c != "churn_probability"], *r6("churn_probability"))
+
+
+@register(
+    "c08_high_risk_segment",
+    chain(
+        "scored",
+        "SELECT count(*) AS customers, CAST(sum(CASE WHEN churn_risk_level IN ('HIGH','CRITICAL') THEN 1 ELSE 0 END)"
+        " AS BIGINT) AS high_risk_customers FROM scored2",
+    ),
+)
+def c08_high_risk_segment(spark, sf_dir):
+    s = st(spark, sf_dir).scored
+    return s.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.col("churn_risk_level").isin("HIGH", "CRITICAL")).alias("high_risk_customers"),
+    )
+
+
+@register(
+    "c09_first_above_70",
+    chain(
+        "scored",
+        f"SELECT customer_id, {s6('churn_probability')} FROM scored WHERE churn_probability >= 0.7e0"
+        " ORDER BY customer_id LIMIT 1",
+    ),
+)
+def c09_first_above_70(spark, sf_dir):
+    s = st(spark, sf_dir).scored
+    return s.filter(F.col("churn_probability") >= 0.7).orderBy("customer_id").limit(1).select(
+        "customer_id", *r6("churn_probability")
+    )
+
+
+# ------------------------------------------------------------------ E: archetypes
+
+
+def _arch_query(name: str, cols: list[str]):
+    @register(name, chain("arch", f"SELECT customer_id, {', '.join(cols)} FROM arch", high_risk=False))
+    def q(spark, sf_dir):
+        return st(spark, sf_dir).archetyped_all.select("customer_id", *cols)
+
+    return q
+
+
+_arch_query("e01_score_ghost", ["score_ghost"])
+_arch_query("e02_score_frustrated", ["score_frustrated"])
+_arch_query("e03_score_price_sensitive", ["score_price_sensitive"])
+_arch_query("e04_score_outgrown", ["score_outgrown"])
+_arch_query("e05_score_rounding", ["score_ghost", "score_frustrated", "score_price_sensitive", "score_outgrown"])
+_arch_query("e06_archetype_argmax", ["churn_archetype"])
+_arch_query("e07_confidence_and_name", ["archetype_confidence", "archetype_name"])
+_arch_query(
+    "e08_classify",
+    ["score_ghost", "score_frustrated", "score_price_sensitive", "score_outgrown", "churn_archetype",
+     "archetype_confidence", "archetype_name"],
+)
+
+# ------------------------------------------------------------------ E: rules and value
+
+_ACTION = ["rule_id", "action", "action_code", "channel", "urgency", "expected_conversion_rate", "action_cost_usd",
+           "description"]
+
+
+def _decided_query(name: str, cols: list[str], rounded: tuple = (), high_risk: bool = True):
+    plain = [c for c in cols if c not in rounded]
+    sql_cols = ", ".join(plain + ([s6(*rounded)] if rounded else []))
+
+    @register(name, chain("impacted", f"SELECT customer_id, {sql_cols} FROM impacted", high_risk=high_risk))
+    def q(spark, sf_dir):
+        s = st(spark, sf_dir)
+        d = s.decided if high_risk else s.decided_all
+        return d.select("customer_id", *plain, *r6(*rounded))
+
+    return q
+
+
+_decided_query("e09_recommend", _ACTION)
+_decided_query("e09_recommend_all_customers", _ACTION, high_risk=False)
+_decided_query("e12_expected_revenue_saved", ["expected_revenue_saved"])
+_decided_query("e13_campaign_roi", ["campaign_roi"])
+_decided_query("e14_decision_pipeline", ["rule_id", "expected_revenue_saved", "campaign_roi"])
+_decided_query("e15_clv", ["clv"], high_risk=False)
+_decided_query("e16_clv_tier", ["clv_tier"], high_risk=False)
+_decided_query("e17_clv_columns", ["clv", "clv_tier", "annualised_revenue"])
+_decided_query(
+    "e19_per_customer_impact",
+    ["p_saved", "revenue_saved", "campaign_cost_total", "incremental_profit"],
+    rounded=("p_saved", "revenue_saved", "campaign_cost_total", "incremental_profit"),
+)
+
+
+@register(
+    "e10_rule_hits",
+    chain("impacted", "SELECT rule_id, count(*) AS customers FROM impacted GROUP BY rule_id", high_risk=False),
+)
+def e10_rule_hits(spark, sf_dir):
+    return st(spark, sf_dir).decided_all.groupBy("rule_id").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@register(
+    "e11_fallback_share",
+    chain(
+        "impacted",
+        "SELECT count(*) AS customers, CAST(sum(CASE WHEN rule_id = 'FALLBACK' THEN 1 ELSE 0 END) AS BIGINT)"
+        " AS fallback_customers, round_even(avg(CASE WHEN rule_id = 'FALLBACK' THEN 1e0 ELSE 0e0 END), 6)"
+        " AS fallback_share FROM impacted",
+    ),
+)
+def e11_fallback_share(spark, sf_dir):
+    d = st(spark, sf_dir).decided
+    fb = F.col("rule_id") == "FALLBACK"
+    return d.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(fb).alias("fallback_customers"),
+        rint_to(F.avg(F.when(fb, 1.0).otherwise(0.0)), 6).alias("fallback_share"),
+    )
+
+
+_Q18 = "((1e0 - churn_probability) / 1.008e0)"
+
+
+@register(
+    "e18_simple_clv",
+    chain(
+        "scored",
+        f"SELECT customer_id, round_even(CASE WHEN {_Q18} = 1e0 THEN monthly_revenue * 36e0 ELSE monthly_revenue * {_Q18}"
+        f" * (1e0 - pow({_Q18}, 36e0)) / (1e0 - {_Q18}) END, 6) AS clv_simple FROM scored",
+    ),
+)
+def e18_simple_clv(spark, sf_dir):
+    from .operators.value import clv_simple
+
+    s = st(spark, sf_dir).scored
+    return s.select("customer_id", rint_to(clv_simple(F.col("monthly_revenue"), F.col("churn_probability")), 6).alias("clv_simple"))
+
+
+@register(
+    "e20_recommendation_record",
+    chain(
+        "impacted",
+        "SELECT customer_id, round(churn_probability, 4) AS churn_probability, churn_archetype, archetype_name,"
+        " 'engagement_decay_score' AS primary_driver, action AS recommended_action, channel, urgency,"
+        " expected_conversion_rate, expected_revenue_saved, clv, clv_tier FROM impacted",
+        high_risk=False,
+    ),
+)
+def e20_recommendation_record(spark, sf_dir):
+    from .plans.serving import recommendation_record
+
+    return recommendation_record(st(spark, sf_dir).decided_all)
+
+
+@register(
+    "e21_batch_prediction",
+    chain(
+        "scored",
+        "SELECT customer_id, round(churn_probability, 4) AS churn_probability, churn_risk_level,"
+        " (SELECT count(*) FROM scored2) AS count FROM scored2",
+    ),
+)
+def e21_batch_prediction(spark, sf_dir):
+    from .plans.serving import batch_prediction
+
+    return batch_prediction(st(spark, sf_dir).scored)
+
+
+# ------------------------------------------------------------------ A11 / I: sinks and sorts
+
+_A11_COLS = [
+    "customer_id", "subscription_type", "monthly_revenue", "tenure_months", "churn_risk_level",
+    "primary_driver", "churn_archetype", "archetype_name", "action", "action_code", "channel", "urgency",
+    "expected_conversion_rate", "action_cost_usd", "expected_revenue_saved", "campaign_roi", "clv", "clv_tier",
+    "customer_health_score", "retention_risk_score",
+]
+
+
+@register(
+    "a11_recommendations",
+    chain(
+        "impacted",
+        f"SELECT {', '.join(c if c != 'primary_driver' else chr(39) + 'engagement_decay_score' + chr(39) + ' AS primary_driver' for c in _A11_COLS)},"
+        f" {s6('churn_probability')} FROM impacted",
+    ),
+)
+def a11_recommendations(spark, sf_dir):
+    from .plans.batch import recommendations
+
+    rec = recommendations(st(spark, sf_dir).decided)
+    return rec.select(*[c for c in rec.columns if c != "churn_probability"], *r6("churn_probability"))
+
+
+@register(
+    "i01_global_sort",
+    chain("impacted", f"SELECT customer_id, {s6('churn_probability')} FROM impacted"
+          " ORDER BY churn_probability DESC, customer_id"),
+)
+def i01_global_sort(spark, sf_dir):
+    d = st(spark, sf_dir).decided
+    return d.orderBy(F.desc("churn_probability"), "customer_id").select("customer_id", *r6("churn_probability"))
+
+
+_TOP10 = ["customer_id", "subscription_type", "monthly_revenue", "archetype_name", "action", "expected_revenue_saved"]
+
+
+@register(
+    "i02_top10_by_saved",
+    chain(
+        "impacted",
+        f"SELECT {', '.join(_TOP10)}, {s6('churn_probability')} FROM impacted"
+        " ORDER BY expected_revenue_saved DESC, customer_id LIMIT 10",
+    ),
+)
+def i02_top10_by_saved(spark, sf_dir):
+    from .operators.reports import top_by_saved
+
+    t = top_by_saved(st(spark, sf_dir).decided, 10)
+    return t.select(*_TOP10, *r6("churn_probability"))
+
+
+@register(
+    "i03_priority_queue",
+    chain(
+        "impacted",
+        "SELECT customer_id, archetype_name, action, urgency, expected_revenue_saved, clv_tier FROM impacted"
+        " ORDER BY expected_revenue_saved DESC, customer_id LIMIT 100",
+    ),
+)
+def i03_priority_queue(spark, sf_dir):
+    from .operators.reports import priority_queue
+
+    return priority_queue(st(spark, sf_dir).decided, 100)
+
+
+@register(
+    "i06_top5_riskiest",
+    chain("scored", f"SELECT customer_id, {s6('churn_probability')} FROM scored ORDER BY churn_probability DESC,"
+          " customer_id LIMIT 5"),
+)
+def i06_top5_riskiest(spark, sf_dir):
+    s = st(spark, sf_dir).scored
+    return s.orderBy(F.desc("churn_probability"), "customer_id").limit(5).select("customer_id", *r6("churn_probability"))
+
+
+# ------------------------------------------------------------------ F: aggregates
+
+
+def _agg_query(name: str, stage: str, sql_body: str, build, rounded: tuple = (), high_risk: bool = True):
+    """Register an aggregate: ``build(stages) -> DataFrame``; ``rounded`` columns get 6-dp half-even."""
+
+    @register(name, chain(stage, sql_body, high_risk=high_risk))
+    def q(spark, sf_dir):
+        out = build(st(spark, sf_dir))
+        if not rounded:
+            return out
+        return out.select(*[rint_to(F.col(c), 6).alias(c) if c in rounded else F.col(c) for c in out.columns])
+
+    return q
+
+
+def _rep(fn_name: str):
+    from .operators import reports
+
+    return getattr(reports, fn_name)
+
+
+_NN_ARCH = "FROM impacted WHERE churn_archetype IS NOT NULL"
+
+_agg_query(
+    "f01_archetype_counts", "impacted",
+    f"SELECT churn_archetype AS archetype, count(*) AS count {_NN_ARCH} GROUP BY churn_archetype",
+    lambda s: _rep("archetype_counts")(s.decided),
+)
+_agg_query(
+    "f02_archetype_distribution", "impacted",
+    f"SELECT churn_archetype, count(*) AS count, round_even(avg(churn_probability), 6) AS avg_churn_prob,"
+    f" round_even(avg(monthly_revenue), 6) AS avg_monthly_revenue, any_value(archetype_name) AS archetype_name"
+    f" {_NN_ARCH} GROUP BY churn_archetype",
+    lambda s: __import__("keepwell.operators.archetypes", fromlist=["x"]).distribution(s.decided),
+    rounded=("avg_churn_prob", "avg_monthly_revenue"),
+)
+_agg_query(
+    "f03_clv_summary", "impacted",
+    "SELECT clv_tier, count(clv) AS count, round_even(avg(clv), 2) AS avg_clv, round_even(sum(clv), 2) AS total_clv,"
+    " round_even(avg(monthly_revenue), 2) AS avg_mrr FROM impacted WHERE clv_tier IS NOT NULL GROUP BY clv_tier",
+    lambda s: __import__("keepwell.operators.value", fromlist=["x"]).clv_summary(s.decided),
+)
+
+_TOT_SQL = """SELECT total_at_risk_users, total_at_risk_mrr, expected_users_retained, expected_revenue_saved,
+  total_campaign_cost, net_incremental_profit,
+  round_even(net_incremental_profit / greatest(total_campaign_cost, 1e0) * 100, 1) AS roi_pct,
+  round_even(total_campaign_cost / greatest(mean_rev * 0.7e0, 1e0), 1) AS payback_months
+FROM (SELECT count(*) AS total_at_risk_users, round_even(sum(monthly_revenue), 2) AS total_at_risk_mrr,
+  round_even(sum(p_saved), 1) AS expected_users_retained, round_even(sum(revenue_saved), 2) AS expected_revenue_saved,
+  round_even(sum(campaign_cost_total), 2) AS total_campaign_cost, round_even(sum(incremental_profit), 2) AS net_incremental_profit,
+  avg(revenue_saved) AS mean_rev FROM impacted) t"""
+
+_agg_query(
+    "f04_impact_totals", "impacted", _TOT_SQL,
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).impact_totals(s.decided),
+)
+_agg_query(
+    "f05_impact_roi_pct", "impacted", f"SELECT roi_pct AS impact_roi_pct FROM ({_TOT_SQL}) x",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).impact_totals(s.decided).select(
+        F.col("roi_pct").alias("impact_roi_pct")),
+)
+_agg_query(
+    "f06_payback_months", "impacted", f"SELECT payback_months FROM ({_TOT_SQL}) x",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).impact_totals(s.decided).select("payback_months"),
+)
+_agg_query(
+    "f07_impact_by_archetype", "impacted",
+    "SELECT churn_archetype, count(*) AS users, round_even(sum(revenue_saved), 2) AS revenue_saved,"
+    " round_even(sum(campaign_cost_total), 2) AS campaign_cost, round_even(sum(incremental_profit), 2) AS net_profit"
+    f" {_NN_ARCH} GROUP BY churn_archetype",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).impact_by_archetype(s.decided),
+)
+_agg_query(
+    "f08_impact_by_urgency", "impacted",
+    "SELECT urgency, count(*) AS users, round_even(sum(revenue_saved), 2) AS revenue_saved,"
+    " round_even(avg(expected_conversion_rate), 2) AS avg_conversion FROM impacted WHERE urgency IS NOT NULL"
+    " GROUP BY urgency",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).impact_by_urgency(s.decided),
+)
+_agg_query(
+    "f09_report_kpis", "impacted",
+    "SELECT customers, round_even(saved, 6) AS total_revenue_saved, round_even(avg_p, 6) AS avg_churn_probability,"
+    " round_even(cost, 6) AS total_cost, round_even(saved * 0.7e0 - cost * 1.2e0, 6) AS net_profit,"
+    " round_even((saved * 0.7e0 - cost * 1.2e0) / greatest(cost, 1e0) * 100, 6) AS report_roi_pct"
+    " FROM (SELECT count(*) AS customers, coalesce(sum(expected_revenue_saved), 0e0) AS saved,"
+    " avg(churn_probability) AS avg_p, coalesce(sum(action_cost_usd), 0e0) AS cost FROM impacted) k",
+    lambda s: _rep("report_kpis")(s.decided),
+    rounded=("total_revenue_saved", "avg_churn_probability", "total_cost", "net_profit", "report_roi_pct"),
+)
+
+_MODE_SQL = """(SELECT churn_archetype, action AS top_action FROM (
+  SELECT churn_archetype, action, row_number() OVER (PARTITION BY churn_archetype ORDER BY n DESC, action) AS rn
+  FROM (SELECT churn_archetype, action, count(*) AS n FROM impacted WHERE churn_archetype IS NOT NULL AND action IS NOT NULL
+        GROUP BY churn_archetype, action) c) x WHERE rn = 1)"""
+
+_agg_query(
+    "f10_report_archetypes", "impacted",
+    "SELECT g.churn_archetype, customers, round_even(avg_p, 6) AS avg_churn_probability,"
+    " round_even(saved, 6) AS revenue_saved, m.top_action, coalesce(g.nm, g.churn_archetype) AS archetype_name"
+    " FROM (SELECT churn_archetype, count(*) AS customers, avg(churn_probability) AS avg_p,"
+    " sum(expected_revenue_saved) AS saved, any_value(archetype_name) AS nm"
+    f" {_NN_ARCH} GROUP BY churn_archetype) g LEFT JOIN {_MODE_SQL} m USING (churn_archetype)",
+    lambda s: _rep("report_archetypes")(s.decided),
+    rounded=("avg_churn_probability", "revenue_saved"),
+)
+_agg_query(
+    "f11_urgency_share", "impacted",
+    "SELECT urgency, count(*) AS count, round_even(count(*) / (SELECT count(*) FROM impacted) * 100e0, 6)"
+    " AS pct_of_total FROM impacted WHERE urgency IS NOT NULL GROUP BY urgency",
+    lambda s: _rep("urgency_share")(s.decided),
+    rounded=("pct_of_total",),
+)
+_agg_query(
+    "f12_action_summary", "impacted",
+    "SELECT action, count(*) AS count, round_even(sum(expected_revenue_saved), 3) AS total_rev_saved,"
+    " round_even(avg(expected_conversion_rate), 3) AS avg_conversion FROM impacted WHERE action IS NOT NULL"
+    " GROUP BY action",
+    lambda s: _rep("action_summary")(s.decided),
+)
+_agg_query(
+    "f13_kpi_row", "impacted",
+    "SELECT count(*) AS customers, count(*) FILTER (WHERE churn_probability >= 0.5e0) AS high_risk_customers,"
+    " round_even(count(*) FILTER (WHERE churn_probability >= 0.5e0) / count(*), 6) AS high_risk_share,"
+    " round_even(avg(churn_probability), 6) AS avg_churn_probability,"
+    " round_even(sum(expected_revenue_saved) FILTER (WHERE churn_probability >= 0.5e0), 6) AS revenue_saved,"
+    " round_even(avg(campaign_roi) FILTER (WHERE churn_probability >= 0.5e0), 6) AS avg_campaign_roi,"
+    " round_even(sum(action_cost_usd) FILTER (WHERE churn_probability >= 0.5e0), 6) AS campaign_cost FROM impacted",
+    lambda s: _rep("kpi_row")(s.decided_all),
+    rounded=("high_risk_share", "avg_churn_probability", "revenue_saved", "avg_campaign_roi", "campaign_cost"),
+    high_risk=False,
+)
+_agg_query(
+    "f14_mrr_by_clv_tier", "impacted",
+    "SELECT clv_tier, round_even(sum(monthly_revenue), 6) AS monthly_revenue FROM impacted"
+    " WHERE clv_tier IS NOT NULL GROUP BY clv_tier",
+    lambda s: _rep("mrr_by_clv_tier")(s.decided),
+    rounded=("monthly_revenue",),
+)
+_agg_query(
+    "f15_probability_histogram", "scored",
+    "SELECT CAST(least(50, floor(churn_probability * 50) + 1) AS INT) AS bin, count(*) AS count FROM scored"
+    " WHERE churn_probability IS NOT NULL GROUP BY 1",
+    lambda s: _rep("probability_histogram")(s.scored),
+)
+_agg_query(
+    "f16_archetype_action_summary", "impacted",
+    "SELECT churn_archetype, action, count(*) AS count, round_even(sum(expected_revenue_saved), 6) AS revenue_saved"
+    " FROM impacted WHERE churn_archetype IS NOT NULL AND action IS NOT NULL GROUP BY churn_archetype, action",
+    lambda s: _rep("archetype_action_summary")(s.decided),
+    rounded=("revenue_saved",),
+)
+_agg_query(
+    "f17_urgency_counts", "impacted",
+    "SELECT urgency, count(*) AS count FROM impacted WHERE urgency IS NOT NULL GROUP BY urgency",
+    lambda s: _rep("urgency_counts")(s.decided),
+)
+_agg_query(
+    "f19_churn_rate_by_subscription", "mart",
+    "SELECT subscription_type, round_even(avg(churned), 6) AS churn_rate FROM mart"
+    " WHERE subscription_type IS NOT NULL GROUP BY subscription_type",
+    lambda s: _rep("churn_rate_by_subscription")(s.mart),
+    rounded=("churn_rate",),
+)
+
+
+def _hist_sql(col: str, bins: int, by: str = "") -> str:
+    by_sel = f"{by}, " if by else ""
+    by_grp = f", {by}" if by else ""
+    return (
+        f"SELECT {by_sel}CAST(CASE WHEN s.mx > s.mn THEN least({bins}, floor(({col} - s.mn) * ({bins}e0 / (s.mx - s.mn))) + 1)"
+        f" ELSE 1 END AS INT) AS bin, count(*) AS count FROM mart, (SELECT min({col}) AS mn, max({col}) AS mx FROM mart) s"
+        f" WHERE {col} IS NOT NULL GROUP BY 1{by_grp}" if not by else
+        f"SELECT {by}, CAST(CASE WHEN s.mx > s.mn THEN least({bins}, floor(({col} - s.mn) * ({bins}e0 / (s.mx - s.mn))) + 1)"
+        f" ELSE 1 END AS INT) AS bin, count(*) AS count FROM mart, (SELECT min({col}) AS mn, max({col}) AS mx FROM mart) s"
+        f" WHERE {col} IS NOT NULL GROUP BY 1, 2"
+    )
+
+
+_agg_query(
+    "f20_mrr_histogram", "mart", _hist_sql("monthly_revenue", 50),
+    lambda s: _rep("equal_width_histogram")(s.mart, "monthly_revenue", 50),
+)
+_agg_query(
+    "f20_tenure_histogram_by_label", "mart", _hist_sql("tenure_months", 30, "churned"),
+    lambda s: _rep("equal_width_histogram")(s.mart, "tenure_months", 30, ["churned"]),
+)
+
+_SC6 = ["engagement_decay_score", "friction_score", "pricing_sensitivity_score", "growth_pressure_score",
+        "customer_health_score", "retention_risk_score"]
+
+_agg_query(
+    "f21_label_correlations", "feat",
+    "SELECT feature, round_even(correlation, 6) AS correlation FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, CAST(churned AS DOUBLE)) AS correlation FROM feat" for c in _SC6)
+    + ") u",
+    lambda s: _rep("label_correlations")(s.features),
+    rounded=("correlation",),
+)
+_agg_query(
+    "f22_mean_mrr_by_archetype", "impacted",
+    f"SELECT churn_archetype, round_even(avg(monthly_revenue), 2) AS avg_monthly_revenue {_NN_ARCH} GROUP BY 1",
+    lambda s: _rep("mean_mrr_by_archetype")(s.decided),
+)
+_agg_query(
+    "f23_archetype_probability_and_scores", "impacted",
+    "SELECT churn_archetype, round_even(avg(churn_probability), 3) AS mean_churn_probability, count(*) AS count, "
+    + ", ".join(f"round_even(avg({c}), 3) AS {c}" for c in _SC6[:4])
+    + f" {_NN_ARCH} GROUP BY 1",
+    lambda s: _rep("archetype_probability_and_scores")(s.decided),
+)
+
+_PROFILE = ["churn_probability", "monthly_revenue", "tenure_months", "engagement_decay_score", "friction_score",
+            "pricing_sensitivity_score", "growth_pressure_score", "customer_health_score", "clv"]
+
+_agg_query(
+    "f24_archetype_profile", "impacted",
+    "SELECT churn_archetype, metric, round_even(avg(value), 3) AS mean, round_even(quantile_cont(value, 0.5), 3) AS median"
+    " FROM (" + " UNION ALL ".join(
+        f"SELECT churn_archetype, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM impacted" for m in _PROFILE
+    ) + ") u WHERE churn_archetype IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2",
+    lambda s: _rep("archetype_profile")(s.decided),
+)
+
+_RADAR = ["engagement_decay_score", "friction_score", "pricing_sensitivity_score", "growth_pressure_score",
+          "retention_risk_score"]
+
+_agg_query(
+    "f25_archetype_radar", "impacted",
+    "SELECT churn_archetype, " + ", ".join(f"round_even(avg({c}), 6) AS {c}" for c in _RADAR) + f" {_NN_ARCH} GROUP BY 1",
+    lambda s: _rep("archetype_radar")(s.decided),
+    rounded=tuple(_RADAR),
+)
+_agg_query(
+    "f26_archetype_tier_pivot", "impacted",
+    "SELECT churn_archetype, "
+    + ", ".join(
+        f"round_even(coalesce(sum(expected_revenue_saved) FILTER (WHERE clv_tier = '{t}'), 0e0), 6) AS {t}"
+        for t in ["Enterprise", "High", "Medium", "Low"]
+    )
+    + f" {_NN_ARCH} GROUP BY 1",
+    lambda s: _rep("archetype_tier_pivot")(s.decided),
+    rounded=("Enterprise", "High", "Medium", "Low"),
+)
+_agg_query(
+    "f27_action_share_in_archetype", "impacted",
+    "SELECT churn_archetype, action, n AS count, round_even(n / sum(n) OVER (PARTITION BY churn_archetype) * 100, 6) AS pct"
+    " FROM (SELECT churn_archetype, action, count(*) AS n FROM impacted WHERE churn_archetype IS NOT NULL"
+    " AND action IS NOT NULL GROUP BY 1, 2) c",
+    lambda s: _rep("action_share_in_archetype")(s.decided),
+    rounded=("pct",),
+)
+_agg_query(
+    "f28_archetype_summary", "impacted",
+    "SELECT g.*, m.top_action FROM (SELECT churn_archetype, count(customer_id) AS customers,"
+    " round_even(avg(churn_probability), 2) AS avg_churn_prob, round_even(avg(monthly_revenue), 2) AS avg_mrr,"
+    " round_even(sum(monthly_revenue), 2) AS total_mrr, round_even(avg(clv), 2) AS avg_clv,"
+    " round_even(sum(expected_revenue_saved), 2) AS total_rev_saved,"
+    " round_even(avg(expected_conversion_rate), 2) AS avg_conversion, any_value(archetype_name) AS archetype_name"
+    f" {_NN_ARCH} GROUP BY 1) g LEFT JOIN {_MODE_SQL} m USING (churn_archetype)",
+    lambda s: _rep("archetype_summary")(s.decided),
+)
+
+_TOP_ARCH = ("(SELECT churn_archetype FROM impacted WHERE churn_archetype IS NOT NULL GROUP BY 1"
+             " ORDER BY count(*) DESC, churn_archetype LIMIT 1)")
+_TOP_ACTION = ("(SELECT action FROM impacted WHERE action IS NOT NULL GROUP BY 1"
+               " ORDER BY sum(revenue_saved) DESC, action LIMIT 1)")
+_EXEC = [
+    ("Total Customers Analysed", "CAST((SELECT count(*) FROM scored2) AS DOUBLE)", "NULL"),
+    ("High-Risk Customers", "CAST(total_at_risk_users AS DOUBLE)", "NULL"),
+    ("High-Risk Share %", "total_at_risk_users / (SELECT count(*) FROM scored2) * 100", "NULL"),
+    ("Annual MRR at Risk", "total_at_risk_mrr * 12", "NULL"),
+    ("Expected Customers Retained", "expected_users_retained", "NULL"),
+    ("Expected Revenue Saved (12mo)", "expected_revenue_saved", "NULL"),
+    ("Total Campaign Cost", "total_campaign_cost", "NULL"),
+    ("Net Incremental Profit", "net_incremental_profit", "NULL"),
+    ("Campaign ROI %", "roi_pct", "NULL"),
+    ("Payback Period (months)", "payback_months", "NULL"),
+    ("Most Common Archetype", "CAST(NULL AS DOUBLE)", _TOP_ARCH),
+    ("Highest-Revenue Action", "CAST(NULL AS DOUBLE)", _TOP_ACTION),
+]
+_agg_query(
+    "f29_executive_summary", "impacted",
+    " UNION ALL ".join(
+        f"SELECT {i + 1} AS pos, '{k}' AS metric, round_even({v}, 6) AS value, CAST({t} AS VARCHAR) AS value_text"
+        f" FROM ({_TOT_SQL}) x"
+        for i, (k, v, t) in enumerate(_EXEC)
+    ),
+    lambda s: _rep("executive_summary")(s.scored, s.decided),
+    rounded=("value",),
+)
+_agg_query(
+    "f30_revenue_waterfall", "impacted",
+    " UNION ALL ".join(
+        f"SELECT {i} AS step, '{lbl}' AS label, round_even({v}, 6) AS value FROM (SELECT sum(monthly_revenue) AS mrr,"
+        " round_even(sum(revenue_saved), 2) AS saved, round_even(sum(campaign_cost_total), 2) AS cost,"
+        " round_even(sum(incremental_profit), 2) AS profit FROM impacted) t"
+        for i, (lbl, v) in enumerate(
+            [("MRR at Risk (12mo)", "mrr * 12"), ("Reached", "mrr * 12 * 0.85e0"), ("Revenue Saved", "saved"),
+             ("Campaign Cost", "-cost"), ("Net Profit", "profit")], start=1)
+    ),
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).waterfall(s.decided),
+    rounded=("value",),
+)
+_agg_query(
+    "f31_archetype_density", "impacted",
+    "SELECT c.churn_archetype, c.feature, c.bin, c.count, round_even(c.count / t.n * 50, 6) AS density FROM"
+    " (SELECT churn_archetype, feature, CAST(least(50, floor(value * 50) + 1) AS INT) AS bin, count(*) AS count FROM ("
+    + " UNION ALL ".join(f"SELECT churn_archetype, '{f}' AS feature, {f} AS value FROM impacted" for f in _SC6[:4])
+    + ") u WHERE churn_archetype IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3) c JOIN"
+    " (SELECT churn_archetype, feature, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT churn_archetype, '{f}' AS feature, {f} AS value FROM impacted" for f in _SC6[:4])
+    + ") u WHERE churn_archetype IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2) t USING (churn_archetype, feature)",
+    lambda s: _rep("archetype_density")(s.decided),
+    rounded=("density",),
+)
+_agg_query(
+    "f32_revenue_correlation", "impacted",
+    "SELECT round_even(corr(monthly_revenue, expected_revenue_saved), 6) AS correlation FROM impacted",
+    lambda s: _rep("revenue_correlation")(s.decided),
+    rounded=("correlation",),
+)
+_agg_query(
+    "f34_high_risk_share", "scored",
+    "SELECT count(*) FILTER (WHERE churn_probability >= 0.5e0) AS high_risk_customers,"
+    " round_even(avg(CASE WHEN churn_probability >= 0.5e0 THEN 1 ELSE 0 END), 6) AS high_risk_share FROM scored",
+    lambda s: _rep("high_risk_share")(s.scored),
+    rounded=("high_risk_share",),
+)
+
+# ------------------------------------------------------------------ H: scenarios
+
+_agg_query(
+    "h01_scenario", "impacted",
+    "SELECT round_even(rev, 6) AS revenue_saved, round_even(cost, 6) AS campaign_cost, round_even(profit, 6) AS net_profit,"
+    " round_even(profit / greatest(cost, 1e0) * 100, 6) AS roi_pct FROM (SELECT"
+    " sum(churn_probability * (expected_conversion_rate * 1e0) * 0.85e0 * monthly_revenue * 12) AS rev,"
+    " sum(action_cost_usd * 1.2e0) AS cost,"
+    " sum(churn_probability * (expected_conversion_rate * 1e0) * 0.85e0 * monthly_revenue * 12 * 0.7e0 - action_cost_usd * 1.2e0)"
+    " AS profit FROM impacted) t",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).scenario(s.decided),
+    rounded=("revenue_saved", "campaign_cost", "net_profit", "roi_pct"),
+)
+_agg_query(
+    "h02_conversion_sensitivity", "impacted",
+    "SELECT CAST(i AS INT) AS point, round_even(0.3e0 + i * 0.1e0, 6) AS multiplier,"
+    " round_even((pcm * (0.3e0 + i * 0.1e0) * 0.85e0 * 12 * 0.7e0 - cost) / greatest(cost, 1e0) * 100, 6) AS roi_pct"
+    " FROM (SELECT sum(churn_probability * expected_conversion_rate * monthly_revenue) AS pcm,"
+    " sum(action_cost_usd * 1.2e0) AS cost FROM impacted) t, range(18) r(i)",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).conversion_sensitivity(s.decided),
+    rounded=("multiplier", "roi_pct"),
+)
+_agg_query(
+    "h03_conversion_reach_grid", "impacted",
+    "SELECT round_even(c, 6) AS conversion, reach, round_even(round_even(pm * c * reach * 12 * 0.7e0 - cost_raw, 2)"
+    " / greatest(round_even(cost_raw, 2), 1e0) * 100, 1) AS roi_pct"
+    " FROM (SELECT sum(churn_probability * monthly_revenue) AS pm, sum(action_cost_usd * 1.2e0) AS cost_raw FROM impacted) t,"
+    " (SELECT 0.05e0 + i * 0.05e0 AS c FROM range(9) r(i)) cg, (VALUES (0.6e0), (0.75e0), (0.85e0), (1e0)) rg(reach)",
+    lambda s: __import__("keepwell.operators.impact", fromlist=["x"]).conversion_reach_sensitivity(s.decided),
+    rounded=("conversion",),
+)
+
+
+# ------------------------------------------------------------------ J: drift and quality
+
+from .oracle.duck import monitoring_chain  # noqa: E402
+from .schema import MODEL_FEATURES  # noqa: E402
+
+
+def _mon(s: Stages):
+    from .operators import drift
+    from .plans.monitoring import batches
+
+    ref, prod = batches(s)
+    return drift, ref, prod
+
+
+@register(
+    "f33_column_profile",
+    monitoring_chain(
+        MODEL_FEATURES,
+        "SELECT side, feature, rows, n, round_even(mean, 6) AS mean, round_even(std, 6) AS std, min, max,"
+        " round_even(null_pct, 6) AS null_pct FROM prof",
+    ),
+)
+def f33_column_profile(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    p = drift.column_profile(drift.both_sides(ref, prod, MODEL_FEATURES))
+    return p.select("side", "feature", "rows", "n", *r6("mean", "std"), "min", "max", *r6("null_pct"))
+
+
+@register("c07_null_filter", monitoring_chain(MODEL_FEATURES, "SELECT side, feature, count(*) AS values FROM vals GROUP BY 1, 2"))
+def c07_null_filter(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    lf = drift.both_sides(ref, prod, MODEL_FEATURES)
+    return lf.filter(F.col("value").isNotNull()).groupBy("side", "feature").agg(F.count(F.lit(1)).alias("values"))
+
+
+@register("j01_psi", monitoring_chain(MODEL_FEATURES, "SELECT feature, psi FROM psi"))
+def j01_psi(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.psi_table(drift.both_sides(ref, prod, MODEL_FEATURES))
+
+
+@register("j02_psi_label", monitoring_chain(MODEL_FEATURES, "SELECT feature, psi_label FROM fdrift"))
+def j02_psi_label(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    p = drift.psi_table(drift.both_sides(ref, prod, MODEL_FEATURES))
+    return p.select("feature", drift.psi_label(F.col("psi")).alias("psi_label"))
+
+
+@register("j03_ks_statistic", monitoring_chain(MODEL_FEATURES, "SELECT feature, ks_statistic FROM ks"))
+def j03_ks_statistic(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.ks_table(drift.both_sides(ref, prod, MODEL_FEATURES)).select("feature", "ks_statistic")
+
+
+@register("j04_ks_pvalue", monitoring_chain(MODEL_FEATURES, "SELECT feature, ks_pvalue FROM ks"))
+def j04_ks_pvalue(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.ks_table(drift.both_sides(ref, prod, MODEL_FEATURES)).select("feature", "ks_pvalue")
+
+
+@register("j05_feature_drift", monitoring_chain(MODEL_FEATURES, "SELECT * FROM fdrift"))
+def j05_feature_drift(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.feature_drift(ref, prod, MODEL_FEATURES)
+
+
+@register("j06_prediction_drift", monitoring_chain(MODEL_FEATURES, "SELECT * FROM pdrift"))
+def j06_prediction_drift(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.prediction_drift(ref.select("churn_probability"), prod.select("churn_probability"))
+
+
+@register("j07_data_quality", monitoring_chain(MODEL_FEATURES, "SELECT * FROM quality"))
+def j07_data_quality(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.data_quality(ref, prod, MODEL_FEATURES)
+
+
+_STATUS_SQL = """SELECT n_major, n_drifted, quality_fails, prediction_drift,
+  CASE WHEN n_major >= 5 OR prediction_drift THEN '🚨 RETRAIN REQUIRED'
+       WHEN n_major >= 2 OR quality_fails >= 3 THEN '⚠️ MONITOR CLOSELY' ELSE '✅ HEALTHY' END AS overall_status,
+  CASE WHEN n_major >= 5 OR prediction_drift THEN printf('%d features show major drift. Trigger model retraining pipeline immediately.', n_major)
+       WHEN n_major >= 2 OR quality_fails >= 3 THEN printf('%d features drifting, %d quality issues. Schedule retraining within 2 weeks.', n_major, quality_fails)
+       ELSE 'Model performing within expected parameters. Next review in 30 days.' END AS recommendation
+FROM (SELECT count(*) FILTER (WHERE psi >= 0.2e0) AS n_major, count(*) FILTER (WHERE drift_detected) AS n_drifted,
+  (SELECT count(*) FILTER (WHERE NOT quality_ok) FROM quality) AS quality_fails,
+  (SELECT bool_or(drift_detected) FROM pdrift) AS prediction_drift FROM fdrift) s"""
+
+
+@register("j08_overall_status", monitoring_chain(MODEL_FEATURES, _STATUS_SQL))
+def j08_overall_status(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    fd = drift.feature_drift(ref, prod, MODEL_FEATURES)
+    dq = drift.data_quality(ref, prod, MODEL_FEATURES)
+    pdr = drift.prediction_drift(ref.select("churn_probability"), prod.select("churn_probability"))
+    return drift.overall_status(fd, dq, pdr)
+
+
+@register(
+    "j09_monitoring_run",
+    monitoring_chain(
+        MODEL_FEATURES,
+        f"SELECT x.*, (SELECT count(*) FROM refc) AS n_reference, (SELECT count(*) FROM prodc) AS n_production"
+        f" FROM ({_STATUS_SQL}) x",
+    ),
+)
+def j09_monitoring_run(spark, sf_dir):
+    from .plans.monitoring import monitor
+
+    out = monitor(st(spark, sf_dir))
+    return out["summary"].drop("run_ts")
+
+
+@register(
+    "j10_drift_report",
+    monitoring_chain(
+        MODEL_FEATURES,
+        "SELECT feature, psi, psi_label AS status, ks_statistic AS ks_stat, ks_pvalue AS ks_pval, ref_mean, prod_mean,"
+        " drift_detected AS drift FROM fdrift ORDER BY psi DESC, feature",
+    ),
+)
+def j10_drift_report(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.drift_report(drift.feature_drift(ref, prod, MODEL_FEATURES))

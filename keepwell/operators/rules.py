@@ -131,38 +131,66 @@ def load_rules(path: str | None = None) -> RuleSet:
     return RuleSet(rules=rules, fallback=dict(cfg["fallback"]), thresholds=dict(cfg.get("thresholds") or {}))
 
 
-def condition(columns: list[str], key: str, threshold) -> Column:
-    """C6 for one ``feature_op: threshold`` entry."""
-    for suffix, op in SUFFIX_OPS:
+def _lit_sql(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return f"{float(v)!r}D"
+
+
+def condition_sql(columns: list[str], key: str, threshold) -> str:
+    """C6 for one ``feature_op: threshold`` entry, as a Spark SQL predicate."""
+    ops = {"_gte": ">=", "_lte": "<=", "_eq": "=", "_gt": ">", "_lt": "<"}
+    for suffix, _ in SUFFIX_OPS:
         if key.endswith(suffix):
             feature = key[: -len(suffix)]
             if feature not in columns:
-                return F.lit(True)
-            x = F.col(feature)
+                return "true"
+            x = f"`{feature}`"
             # null and NaN compare false, as in the row-wise original
-            return F.coalesce(op(x, F.lit(threshold)) & ~F.isnan(x.cast("double")), F.lit(False))
-    return F.lit(False)
+            return f"coalesce({x} {ops[suffix]} {_lit_sql(threshold)} AND NOT isnan(CAST({x} AS DOUBLE)), false)"
+    return "false"
+
+
+def condition(columns: list[str], key: str, threshold) -> Column:
+    return F.expr(condition_sql(columns, key, threshold))
+
+
+def predicate_sql(columns: list[str], conditions: dict) -> str:
+    return " AND ".join([condition_sql(columns, k, v) for k, v in conditions.items()] or ["true"])
 
 
 def predicate(columns: list[str], conditions: dict) -> Column:
-    parts = [condition(columns, k, v) for k, v in conditions.items()]
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    return F.expr(predicate_sql(columns, conditions))
 
 
-def _action_struct(values: tuple) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(ACTION_FIELDS, values)])
+def _struct_sql(values: tuple) -> str:
+    parts = []
+    for (n, t), v in zip(ACTION_FIELDS, values):
+        lit = _lit_sql(float(v)) if isinstance(t, T.DoubleType) else _lit_sql(v)
+        parts.append(f"'{n}', {lit}")
+    return "named_struct(" + ", ".join(parts) + ")"
 
 
-def match_expr(df: DataFrame, rules: RuleSet, archetype_col: str = "churn_archetype") -> Column:
-    """D3: first matching rule as a struct column (compiled CASE)."""
-    arch = col_or(df, archetype_col, "A")
-    out = None
+def match_sql(columns: list[str], rules: RuleSet, archetype_col: str = "churn_archetype") -> str:
+    """D3 compiled once: ``CASE WHEN <archetype> AND <conditions> THEN struct ... ELSE fallback END``."""
+    arch = f"`{archetype_col}`" if archetype_col in columns else "'A'"
+    whens = []
     for a in rules.archetypes():
         for r in rules.ordered(a):
-            cond = (arch == F.lit(a)) & predicate(df.columns, r.conditions)
-            out = F.when(cond, _action_struct(r.values())) if out is None else out.when(cond, _action_struct(r.values()))
-    fb = _action_struct(rules.fallback_values())
-    return fb if out is None else out.otherwise(fb)
+            whens.append(
+                f"WHEN {arch} = {_lit_sql(a)} AND {predicate_sql(columns, r.conditions)} THEN {_struct_sql(r.values())}"
+            )
+    fb = _struct_sql(rules.fallback_values())
+    return f"CASE {' '.join(whens)} ELSE {fb} END" if whens else fb
+
+
+def match_expr(df: DataFrame, rules: RuleSet, archetype_col: str = "churn_archetype") -> Column:
+    """D3: first matching rule as a struct column (one parsed CASE expression)."""
+    return F.expr(match_sql(df.columns, rules, archetype_col))
 
 
 def recommend(df: DataFrame, rules: RuleSet | None = None, archetype_col: str = "churn_archetype") -> DataFrame:

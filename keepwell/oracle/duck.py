@@ -292,3 +292,97 @@ def chain(stage: str, body: str, high_risk: bool = True, threshold: float = 0.5)
         parts.append(rules_sql(_rule_columns()))
     text = "".join(parts).rstrip().rstrip(",")
     return "WITH " + text.strip() + "\n" + body
+
+
+def _ks_p(d: str, n: str, m: str) -> str:
+    en = f"({n} * {m} / ({n} + {m}))"
+    lam = f"((sqrt({en}) + 0.12e0 + 0.11e0 / sqrt({en})) * {d})"
+    series = (
+        f"list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END)"
+        f" * exp(-2e0 * k * k * {lam} * {lam})))"
+    )
+    return f"(CASE WHEN {d} <= 0 THEN 1e0 ELSE least(1e0, greatest(0e0, 2e0 * {series})) END)"
+
+
+def _psi_label(x: str) -> str:
+    return (
+        f"CASE WHEN {x} < 0.1e0 THEN '✅ No Drift' WHEN {x} < 0.2e0 THEN '⚠️ Minor Drift' ELSE '🚨 Major Drift' END"
+    )
+
+
+def drift_ctes(features: list[str], lf_name: str = "lf", suffix: str = "") -> str:
+    """PSI / KS / profile CTEs over a long form named ``lf_name`` (side, feature, value)."""
+    s = suffix
+    q = ", ".join(f"quantile_cont(value, {i / 10!r})" for i in range(11))
+    return f"""
+vals{s} AS (SELECT side, feature, value FROM {lf_name} WHERE value IS NOT NULL AND NOT isnan(value)),
+sizes{s} AS (SELECT feature, count(*) FILTER (WHERE side = 'ref') AS n_ref, count(*) FILTER (WHERE side = 'prod') AS n_prod
+  FROM vals{s} GROUP BY feature),
+edges{s} AS (SELECT feature, list_sort(list_distinct([{q}])) AS edges FROM vals{s} WHERE side = 'ref' GROUP BY feature),
+binned{s} AS (SELECT v.feature, v.side, len(e.edges) - 1 AS nb,
+  CASE WHEN v.value = e.edges[len(e.edges)] THEN len(e.edges) - 2
+       ELSE len(list_filter(e.edges, lambda x: x <= v.value)) - 1 END AS bin
+  FROM vals{s} v JOIN edges{s} e USING (feature)),
+counts{s} AS (SELECT feature, bin, count(*) FILTER (WHERE side = 'ref') AS c_ref, count(*) FILTER (WHERE side = 'prod') AS c_prod
+  FROM binned{s} WHERE bin >= 0 AND bin < nb GROUP BY feature, bin),
+allb{s} AS (SELECT feature, n_ref, n_prod, unnest(range(0, len(edges) - 1)) AS bin
+  FROM edges{s} JOIN sizes{s} USING (feature) WHERE len(edges) >= 2),
+terms{s} AS (SELECT feature, (p - r) * ln(p / r) AS t FROM (
+  SELECT a.feature, greatest(coalesce(c.c_ref, 0) / a.n_ref, 1e-6) AS r, greatest(coalesce(c.c_prod, 0) / a.n_prod, 1e-6) AS p
+  FROM allb{s} a LEFT JOIN counts{s} c USING (feature, bin) WHERE a.n_ref > 0 AND a.n_prod > 0) x),
+psi{s} AS (SELECT z.feature, coalesce(round(sum(t), 4), 0e0) AS psi FROM sizes{s} z LEFT JOIN terms{s} USING (feature) GROUP BY z.feature),
+pv{s} AS (SELECT feature, value, count(*) FILTER (WHERE side = 'ref') AS c_ref, count(*) FILTER (WHERE side = 'prod') AS c_prod
+  FROM vals{s} GROUP BY feature, value),
+cum{s} AS (SELECT feature, sum(c_ref) OVER w AS cr, sum(c_prod) OVER w AS cp FROM pv{s}
+  WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+ksd{s} AS (SELECT feature, max(abs(cr / n_ref - cp / n_prod)) AS d FROM cum{s} JOIN sizes{s} USING (feature) GROUP BY feature),
+ks{s} AS (SELECT z.feature,
+  CASE WHEN n_ref < 5 OR n_prod < 5 THEN 0e0 ELSE round(d, 4) END AS ks_statistic,
+  CASE WHEN n_ref < 5 OR n_prod < 5 THEN 1e0 ELSE round({_ks_p('d', 'n_ref', 'n_prod')}, 4) END AS ks_pvalue
+  FROM sizes{s} z LEFT JOIN ksd{s} USING (feature)),
+prof{s} AS (SELECT side, feature, count(*) AS rows, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std,
+  min(value) AS min, max(value) AS max, 1 - count(value) / count(*) AS null_pct
+  FROM (SELECT side, feature, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM {lf_name}) u GROUP BY side, feature),
+"""
+
+
+def _lf(features: list[str], ref: str, prod: str) -> str:
+    parts = []
+    for side, src in (("ref", ref), ("prod", prod)):
+        for f in features:
+            parts.append(f"SELECT '{side}' AS side, '{f}' AS feature, TRY_CAST({f} AS DOUBLE) AS value FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def monitoring_chain(features: list[str], body: str) -> str:
+    """Scored customers split by event window (days 1-15 vs 16+), then drift CTEs."""
+    base = chain("scored", "SELECT 1").removesuffix("\nSELECT 1").rstrip()
+    extra = f""",
+evd AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events),
+ev0 AS (SELECT min(d) AS d0 FROM evd),
+refc AS (SELECT * FROM scored2 WHERE c_custkey IN (SELECT user_id FROM evd, ev0 WHERE d < d0 + 15)),
+prodc AS (SELECT * FROM scored2 WHERE c_custkey IN (SELECT user_id FROM evd, ev0 WHERE d >= d0 + 15)),
+lf AS ({_lf(features, 'refc', 'prodc')}),
+lfp AS ({_lf(['churn_probability'], 'refc', 'prodc')}),
+{drift_ctes(features, 'lf')}{drift_ctes(['churn_probability'], 'lfp', '_p')}
+fdrift AS (SELECT feature, psi, {_psi_label('psi')} AS psi_label, ks_statistic, ks_pvalue,
+  round(r.mean, 4) AS ref_mean, round(p.mean, 4) AS prod_mean, round(r.std, 4) AS ref_std, round(p.std, 4) AS prod_std,
+  (psi >= 0.2e0 OR ks_pvalue < 0.05e0) AS drift_detected
+  FROM psi JOIN ks USING (feature) JOIN (SELECT * FROM prof WHERE side = 'ref') r USING (feature)
+  JOIN (SELECT * FROM prof WHERE side = 'prod') p USING (feature)),
+pdrift AS (SELECT (SELECT round(avg(value), 4) FROM lfp WHERE side = 'ref') AS ref_mean_score,
+  (SELECT round(avg(value), 4) FROM lfp WHERE side = 'prod') AS prod_mean_score,
+  psi, {_psi_label('psi')} AS psi_label, ks_statistic, ks_pvalue, psi >= 0.2e0 AS drift_detected
+  FROM psi_p JOIN ks_p USING (feature)),
+rq AS (SELECT feature, null_pct AS r_null, min AS r_min, max AS r_max, std AS r_std FROM prof WHERE side = 'ref'),
+pq AS (SELECT feature, null_pct AS p_null, min AS p_min, max AS p_max, n AS p_n FROM prof WHERE side = 'prod'),
+oor AS (SELECT v.feature, avg(CASE WHEN v.value < rq.r_min - 3 * rq.r_std OR v.value > rq.r_max + 3 * rq.r_std THEN 1e0 ELSE 0e0 END) AS oor
+  FROM vals v JOIN rq USING (feature) WHERE v.side = 'prod' GROUP BY v.feature),
+quality AS (SELECT feature, round(r_null, 4) AS ref_null_pct, round(p_null, 4) AS prod_null_pct,
+  round(p_null - r_null, 4) AS null_increase, round(r_min, 4) AS ref_min, round(r_max, 4) AS ref_max,
+  round(p_min, 4) AS prod_min, round(p_max, 4) AS prod_max,
+  round(CASE WHEN p_n > 0 THEN oor ELSE 1e0 END, 4) AS out_of_range_pct,
+  (p_null - r_null < 0.1e0 AND (CASE WHEN p_n > 0 THEN oor ELSE 1e0 END) < 0.05e0) AS quality_ok
+  FROM rq JOIN pq USING (feature) LEFT JOIN oor USING (feature))
+"""
+    return base + extra + body

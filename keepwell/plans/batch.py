@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import archetypes, features, impact, rules, scoring, value
+from ..session import materialize
 from ..sources.mart import customer_mart
 from ..sources.tables import Tables
 
@@ -66,6 +67,7 @@ class Stages:
     spark: SparkSession
     sf_dir: str
     threshold: float = HIGH_RISK
+    materialized: bool = True
 
     @cached_property
     def tables(self) -> Tables:
@@ -73,7 +75,7 @@ class Stages:
 
     @cached_property
     def mart(self) -> DataFrame:
-        return customer_mart(self.tables)
+        return materialize(customer_mart(self.tables)) if self.materialized else customer_mart(self.tables)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -88,19 +90,24 @@ class Stages:
     def high_risk(self) -> DataFrame:
         return high_risk(self.scored, self.threshold)
 
+    @cached_property
+    def decided_all(self) -> DataFrame:
+        """Every scored customer through the decision chain, materialized once.
+
+        All decision columns are row-wise, so the high-risk subset below is a
+        filter on this table and equals running the chain on the subset.
+        """
+        d = decision_chain(self.scored.withColumn("primary_driver", F.lit("engagement_decay_score")))
+        return materialize(d) if self.materialized else d
+
     @cached_property
     def archetyped_all(self) -> DataFrame:
-        return archetypes.classify(self.scored)
+        return self.decided_all
 
     @cached_property
     def decided(self) -> DataFrame:
         """High-risk customers through the whole decision chain (placeholder driver, M10)."""
-        df = self.high_risk.withColumn("primary_driver", F.lit("engagement_decay_score"))
-        return decision_chain(df)
-
-    @cached_property
-    def decided_all(self) -> DataFrame:
-        return decision_chain(self.scored)
+        return high_risk(self.decided_all, self.threshold)
 
 
 def recommendations(decided: DataFrame, with_risk_level: bool = True, sort: bool = True) -> DataFrame:

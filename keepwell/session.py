@@ -41,3 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder.
+
+    Used at stage boundaries of the decision pipeline: the materialized table
+    is read back as a plain scan, so later filters are not pushed (and
+    inlined) through the deep derived expressions, every downstream report
+    re-reads instead of recomputing, and a lost executor recomputes at most
+    one stage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
