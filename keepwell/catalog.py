@@ -953,3 +953,286 @@ def j09_monitoring_run(spark, sf_dir):
 def j10_drift_report(spark, sf_dir):
     drift, ref, prod = _mon(st(spark, sf_dir))
     return drift.drift_report(drift.feature_drift(ref, prod, MODEL_FEATURES))
+
+
+# ------------------------------------------------------------------ L: expectations
+
+_L_SQL = """SELECT "check", coalesce(passed, FALSE) AS passed, round_even(CAST(observed AS DOUBLE), 6) AS observed FROM (
+SELECT unnest([
+ {'check': 'L01_required_columns', 'passed': TRUE, 'observed': 0e0},
+ {'check': 'L02_customer_id_unique', 'passed': ids = rows, 'observed': CAST(rows - ids AS DOUBLE)},
+ {'check': 'L03_label_binary', 'passed': bad_label = 0, 'observed': CAST(bad_label AS DOUBLE)},
+ {'check': 'L04_churn_rate_in_range', 'passed': churn_rate BETWEEN 0.05e0 AND 0.45e0, 'observed': churn_rate},
+ {'check': 'L05_mrr_positive', 'passed': bad_mrr = 0, 'observed': CAST(bad_mrr AS DOUBLE)},
+ {'check': 'L06_tenure_at_least_1', 'passed': bad_tenure = 0, 'observed': CAST(bad_tenure AS DOUBLE)},
+ {'check': 'L07_subscription_types_valid', 'passed': bad_sub = 0, 'observed': CAST(bad_sub AS DOUBLE)},
+ {'check': 'L08_sentiment_in_range', 'passed': bad_sent = 0, 'observed': CAST(bad_sent AS DOUBLE)},
+ {'check': 'L09_no_null_critical', 'passed': nulls = 0, 'observed': CAST(nulls AS DOUBLE)},
+ {'check': 'L10_sessions_non_negative', 'passed': bad_sess = 0, 'observed': CAST(bad_sess AS DOUBLE)},
+ {'check': 'L11_capacity_in_range', 'passed': bad_cap = 0, 'observed': CAST(bad_cap AS DOUBLE)},
+ {'check': 'L12_enough_rows', 'passed': rows >= 100, 'observed': CAST(rows AS DOUBLE)},
+ {'check': 'L13_label_minority', 'passed': churn_rate < 0.5e0, 'observed': churn_rate},
+ {'check': 'L14_starter_below_enterprise_mrr', 'passed': s_mrr < e_mrr, 'observed': e_mrr - s_mrr},
+ {'check': 'L15_countries', 'passed': countries >= 5, 'observed': CAST(countries AS DOUBLE)},
+ {'check': 'L16_industries', 'passed': industries >= 5, 'observed': CAST(industries AS DOUBLE)}
+], recursive := true)
+FROM (SELECT count(*) AS rows, count(DISTINCT customer_id) AS ids,
+  count(*) FILTER (WHERE NOT coalesce(churned IN (0, 1), FALSE)) AS bad_label, avg(churned) AS churn_rate,
+  count(*) FILTER (WHERE NOT coalesce(monthly_revenue > 0, FALSE)) AS bad_mrr,
+  count(*) FILTER (WHERE NOT coalesce(tenure_months >= 1, FALSE)) AS bad_tenure,
+  count(*) FILTER (WHERE NOT coalesce(subscription_type IN ('Starter','Professional','Business','Enterprise'), FALSE)) AS bad_sub,
+  count(*) FILTER (WHERE NOT coalesce(support_sentiment BETWEEN -1 AND 1, FALSE)) AS bad_sent,
+  count(*) FILTER (WHERE customer_id IS NULL OR monthly_revenue IS NULL OR churned IS NULL) AS nulls,
+  count(*) FILTER (WHERE NOT coalesce(sessions_30d >= 0 AND sessions_90d >= 0, FALSE)) AS bad_sess,
+  count(*) FILTER (WHERE NOT coalesce(tier_capacity_utilization BETWEEN 0 AND 1, FALSE)) AS bad_cap,
+  avg(monthly_revenue) FILTER (WHERE subscription_type = 'Starter') AS s_mrr,
+  avg(monthly_revenue) FILTER (WHERE subscription_type = 'Enterprise') AS e_mrr,
+  count(DISTINCT country) AS countries, count(DISTINCT industry) AS industries FROM mart) st) u"""
+
+
+@register("l01_l16_expectations", chain("mart", _L_SQL))
+def l01_l16_expectations(spark, sf_dir):
+    from .operators.expectations import expectations
+
+    e = expectations(st(spark, sf_dir).mart)
+    return e.select("check", "passed", rint_to(F.col("observed"), 6).alias("observed"))
+
+
+# ------------------------------------------------------------------ K: metrics and training
+
+_K8_SQL = """SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(pr, 4) AS precision,
+  round(rc, 4) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0e0 END, 4) AS f1
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS rc
+FROM (SELECT count(*) FILTER (WHERE churned = 1 AND churn_probability >= 0.5e0) AS tp,
+  count(*) FILTER (WHERE churned <> 1 AND churn_probability >= 0.5e0) AS fp,
+  count(*) FILTER (WHERE churned = 1 AND churn_probability < 0.5e0) AS fn,
+  count(*) FILTER (WHERE churned <> 1 AND churn_probability < 0.5e0) AS tn FROM scored) c) m"""
+
+
+@register("k08_threshold_metrics", chain("scored", _K8_SQL))
+def k08_threshold_metrics(spark, sf_dir):
+    from .operators.metrics import threshold_metrics
+
+    return threshold_metrics(st(spark, sf_dir).scored)
+
+
+_PER_SCORE = ("(SELECT churn_probability AS s, count(*) FILTER (WHERE churned = 1) AS pos,"
+              " count(*) FILTER (WHERE churned <> 1) AS neg FROM scored GROUP BY 1)")
+
+
+@register(
+    "k09_roc_auc",
+    chain(
+        "scored",
+        "SELECT round_even(sum(pos * (cn - neg + neg / 2e0)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM"
+        f" (SELECT *, sum(neg) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS cn FROM {_PER_SCORE} c) x",
+    ),
+)
+def k09_roc_auc(spark, sf_dir):
+    from .operators.metrics import roc_auc
+
+    return roc_auc(st(spark, sf_dir).scored).select(rint_to(F.col("roc_auc"), 6).alias("roc_auc"))
+
+
+@register(
+    "k10_pr_auc",
+    chain(
+        "scored",
+        "SELECT round_even(sum(pos / (SELECT count(*) FILTER (WHERE churned = 1) FROM scored) * cp / (cp + cn)), 6) AS pr_auc"
+        f" FROM (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM {_PER_SCORE} c"
+        " WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) x",
+    ),
+)
+def k10_pr_auc(spark, sf_dir):
+    from .operators.metrics import average_precision
+
+    return average_precision(st(spark, sf_dir).scored).select(rint_to(F.col("pr_auc"), 6).alias("pr_auc"))
+
+
+@register(
+    "k02_class_weights",
+    chain("mart", "SELECT churned, round_even((SELECT count(*) FROM mart) / (2e0 * count(*)), 6) AS weight FROM mart GROUP BY 1"),
+)
+def k02_class_weights(spark, sf_dir):
+    from .operators.train import class_weights
+
+    w = class_weights(st(spark, sf_dir).mart)
+    return w.select("churned", rint_to(F.col("weight"), 6).alias("weight"))
+
+
+@register("k01_stratified_split", None)
+def k01_stratified_split(spark, sf_dir):
+    from .operators.train import stratified_split
+
+    s = stratified_split(st(spark, sf_dir).mart)
+    return s.groupBy("churned", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("k12_model_comparison", None)
+def k12_model_comparison(spark, sf_dir):
+    from .operators.train import compare_models
+
+    table, _, _, _ = compare_models(st(spark, sf_dir).features, light=True)
+    return table
+
+
+@register("k18_quality_gates", None)
+def k18_quality_gates(spark, sf_dir):
+    from .operators.train import compare_models, quality_gates
+
+    _, _, _, best = compare_models(st(spark, sf_dir).features, light=True)
+    rows = [(g, bool(p), float(o) if o is not None else None) for g, p, o in quality_gates(best)]
+    return spark.createDataFrame(rows, "gate string, passed boolean, observed double")
+
+
+# ------------------------------------------------------------------ M: attribution (linear, exact)
+
+from .operators.explain import BASELINE_WEIGHTS  # noqa: E402
+
+_W_SQL = {k: repr(v) + ("e0" if "e" not in repr(v) else "") for k, v in BASELINE_WEIGHTS.items()}
+_W_SQL["billing_page_visits"] = "(1.5e0 / 5)"
+_W_SQL["downgrade_page_visits"] = "(1.2e0 / 3)"
+_BGM = "bgm AS (SELECT " + ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in BASELINE_WEIGHTS) + " FROM scored2)"
+_ATT = "att AS (" + " UNION ALL ".join(
+    f"SELECT customer_id, churn_probability, {i} AS pos, '{f}' AS feature, "
+    + (f"{_W_SQL[f]} * (coalesce(CAST({f} AS DOUBLE), 0e0) - m_{f})" if f in BASELINE_WEIGHTS else "0e0")
+    + f" AS shap_value, coalesce(CAST({f} AS DOUBLE), 0e0) AS feature_value FROM impacted, bgm"
+    for i, f in enumerate(MODEL_FEATURES)
+) + ")"
+_TOPK = ("topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(shap_value) DESC,"
+         " pos DESC) AS rank FROM att) x WHERE rank <= 5)")
+_IMP = "imp AS (SELECT pos, feature, avg(abs(shap_value)) AS mean_abs_shap FROM att GROUP BY pos, feature)"
+
+
+def _m_chain(body: str) -> str:
+    base = chain("impacted", "SELECT 1").removesuffix("\nSELECT 1").rstrip()
+    return base + f",\n{_BGM},\n{_ATT},\n{_TOPK},\n{_IMP}\n" + body
+
+
+def _att(s: Stages):
+    from .operators import explain
+
+    return explain, s.decided, s.scored
+
+
+@register("m03_linear_attribution", _m_chain("SELECT customer_id, feature, round_even(shap_value, 6) AS shap_value FROM att"))
+def m03_linear_attribution(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    la = ex.long_attribution(d, background=bg)
+    return la.select("customer_id", "feature", rint_to(F.col("shap_value"), 6).alias("shap_value"))
+
+
+_M4_SQL = ("SELECT customer_id, CAST(rank AS INT) AS rank, feature, round(shap_value, 4) AS shap_value,"
+           " round(feature_value, 4) AS feature_value,"
+           " CASE WHEN shap_value > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM topk")
+
+
+@register("m04_customer_explanation", _m_chain(_M4_SQL))
+def m04_customer_explanation(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    e = ex.explain(d, background=bg)
+    return e.select("customer_id", F.inline("top_drivers")).select(
+        "customer_id", "rank", "feature", "shap_value", "feature_value", "direction"
+    )
+
+
+@register("i04_top_k_drivers", _m_chain("SELECT customer_id, CAST(rank AS INT) AS rank, feature FROM topk"))
+def i04_top_k_drivers(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    return ex.explain(d, background=bg).select("customer_id", F.inline("top_drivers")).select("customer_id", "rank", "feature")
+
+
+@register("m05_narrative", None)
+def m05_narrative(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    return ex.narrative(ex.explain(d, background=bg))
+
+
+_M6_SQL = (
+    "SELECT customer_id, round(any_value(churn_probability), 4) AS churn_probability,"
+    " any_value(feature) FILTER (WHERE rank = 1) AS primary_driver, "
+    + ", ".join(
+        f"any_value(feature) FILTER (WHERE rank = {k}) AS driver_{k}_feature,"
+        f" round(any_value(shap_value) FILTER (WHERE rank = {k}), 4) AS driver_{k}_shap"
+        for k in range(1, 6)
+    )
+    + " FROM topk GROUP BY customer_id"
+)
+
+
+@register("m06_batch_explanation", _m_chain(_M6_SQL))
+def m06_batch_explanation(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    return ex.batch_explanations(d, 0.5, background=bg)
+
+
+@register("m07_global_importance", _m_chain("SELECT feature, round_even(mean_abs_shap, 6) AS mean_abs_shap FROM imp"))
+def m07_global_importance(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    g = ex.global_importance(d, background=bg)
+    return g.select("feature", rint_to(F.col("mean_abs_shap"), 6).alias("mean_abs_shap"))
+
+
+@register(
+    "m08_above_median",
+    _m_chain("SELECT feature, round_even(mean_abs_shap, 6) AS mean_abs_shap,"
+             " mean_abs_shap > (SELECT median(mean_abs_shap) FROM imp) AS above_median FROM imp"),
+)
+def m08_above_median(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    a = ex.above_median(ex.global_importance(d, background=bg))
+    return a.select("feature", rint_to(F.col("mean_abs_shap"), 6).alias("mean_abs_shap"), "above_median")
+
+
+@register(
+    "i05_top10_importance",
+    _m_chain("SELECT feature, round_even(mean_abs_shap, 6) AS mean_abs_shap FROM imp ORDER BY mean_abs_shap DESC, pos LIMIT 10"),
+)
+def i05_top10_importance(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    g = ex.global_importance(d, background=bg).limit(10)
+    return g.select("feature", rint_to(F.col("mean_abs_shap"), 6).alias("mean_abs_shap"))
+
+
+@register(
+    "m09_dependence",
+    _m_chain("SELECT customer_id, feature, feature_value, round_even(shap_value, 6) AS shap_value,"
+             " round_even(churn_probability, 6) AS churn_probability FROM att"
+             " WHERE feature IN ('days_since_last_login', 'support_sentiment')"),
+)
+def m09_dependence(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    x = ex.dependence(d, background=bg)
+    return x.select("customer_id", "feature", "feature_value", *r6("shap_value", "churn_probability"))
+
+
+@register("m10_placeholder_driver", chain("impacted", "SELECT customer_id, 'engagement_decay_score' AS primary_driver FROM impacted"))
+def m10_placeholder_driver(spark, sf_dir):
+    return st(spark, sf_dir).decided.select("customer_id", "primary_driver")
+
+
+_GROUPS_SQL = "(VALUES " + ", ".join(
+    f"('{g}', '{f}')" for g, fs in __import__("keepwell.operators.explain", fromlist=["x"]).FEATURE_GROUPS.items() for f in fs
+) + ") grp(feature_group, feature)"
+
+
+@register(
+    "f18_importance_by_group",
+    _m_chain(f"SELECT feature_group, round_even(sum(mean_abs_shap), 6) AS importance FROM imp JOIN {_GROUPS_SQL} USING (feature)"
+             " GROUP BY feature_group"),
+)
+def f18_importance_by_group(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    g = ex.importance_by_group(ex.global_importance(d, background=bg))
+    return g.select("feature_group", rint_to(F.col("importance"), 6).alias("importance"))
+
+
+@register(
+    "d01_driver_left_join",
+    _m_chain("SELECT i.customer_id, t.feature AS primary_driver FROM impacted i LEFT JOIN (SELECT customer_id, feature"
+             " FROM topk WHERE rank = 1) t USING (customer_id)"),
+)
+def d01_driver_left_join(spark, sf_dir):
+    ex, d, bg = _att(st(spark, sf_dir))
+    drivers = ex.batch_explanations(d, 0.0, background=bg).select("customer_id", "primary_driver")
+    return d.select("customer_id").join(drivers, "customer_id", "left")

@@ -252,10 +252,15 @@ def waterfall(df: DataFrame, a: ImpactAssumptions = DEFAULTS) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.lit(1).alias("step"), F.lit("MRR at Risk (12mo)").alias("label"), annual.alias("value")),
-                F.struct(F.lit(2), F.lit("Reached"), annual * F.lit(a.campaign_reach_rate)),
-                F.struct(F.lit(3), F.lit("Revenue Saved"), F.col("saved")),
-                F.struct(F.lit(4), F.lit("Campaign Cost"), -F.col("cost")),
-                F.struct(F.lit(5), F.lit("Net Profit"), F.col("profit")),
+                *[
+                    F.struct(F.lit(i).alias("step"), F.lit(lbl).alias("label"), v.alias("value"))
+                    for i, lbl, v in (
+                        (2, "Reached", annual * F.lit(a.campaign_reach_rate)),
+                        (3, "Revenue Saved", F.col("saved")),
+                        (4, "Campaign Cost", -F.col("cost")),
+                        (5, "Net Profit", F.col("profit")),
+                    )
+                ],
             )
         )
     )
