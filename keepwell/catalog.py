@@ -1236,3 +1236,124 @@ def d01_driver_left_join(spark, sf_dir):
     ex, d, bg = _att(st(spark, sf_dir))
     drivers = ex.batch_explanations(d, 0.0, background=bg).select("customer_id", "primary_driver")
     return d.select("customer_id").join(drivers, "customer_id", "left")
+
+
+# ------------------------------------------------------------------ G: star schema and measures
+
+_ARCH_VALUES = "(VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D')) av(archetype_id, churn_archetype)"
+
+
+def _actions_sql() -> str:
+    from .operators.rules import load_rules
+
+    rs = load_rules()
+    rows = [(r.action_code, r.action, r.channel, r.urgency, r.expected_conversion_rate, r.cost_usd) for r in rs.rules]
+    f = rs.fallback
+    rows.append((f["action_code"], f["action"], f["channel"], f["urgency"], float(f["expected_conversion_rate"]), float(f["cost_usd"])))
+    vals = ", ".join(
+        "(" + ", ".join(("'" + str(x).replace("'", "''") + "'") if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")"
+        for r in rows
+    )
+    return (f"(SELECT CAST(dense_rank() OVER (ORDER BY action_code) AS INT) AS action_id, * FROM (VALUES {vals})"
+            " t(action_code, action_name, channel, urgency, expected_conversion_rate, base_cost_usd))")
+
+
+_FACT_SQL = (
+    f"fact AS (SELECT i.customer_id, av.archetype_id, ac.action_id,"
+    f" CAST(strftime((SELECT max(CAST(o_orderdate AS DATE)) FROM orders), '%Y%m%d') AS INT) AS date_id,"
+    f" i.churn_probability, i.churn_risk_level, 'engagement_decay_score' AS primary_driver, i.expected_revenue_saved,"
+    f" i.campaign_roi, i.clv, i.expected_conversion_rate, i.action_cost_usd, i.monthly_revenue"
+    f" FROM impacted i LEFT JOIN {_ARCH_VALUES} USING (churn_archetype) LEFT JOIN {_actions_sql()} ac ON ac.action_code = i.action_code)"
+)
+
+
+def _g_chain(body: str) -> str:
+    base = chain("impacted", "SELECT 1").removesuffix("\nSELECT 1").rstrip()
+    return base + ",\n" + _FACT_SQL + "\n" + body
+
+
+_FACT_COLS = ["customer_id", "archetype_id", "action_id", "date_id", "churn_risk_level", "primary_driver",
+              "expected_revenue_saved", "campaign_roi", "clv", "expected_conversion_rate", "action_cost_usd"]
+
+
+@register("g01_fact_churn_predictions", _g_chain(f"SELECT {', '.join(_FACT_COLS)}, {s6('churn_probability')} FROM fact"))
+def g01_fact_churn_predictions(spark, sf_dir):
+    from .plans.star import fact_predictions
+
+    f = fact_predictions(st(spark, sf_dir))
+    return f.select(*_FACT_COLS, *r6("churn_probability"))
+
+
+@register(
+    "g02_dim_customers",
+    chain("impacted", "SELECT DISTINCT customer_id, subscription_type, monthly_revenue, tenure_months, country, industry,"
+          " clv_tier FROM impacted"),
+)
+def g02_dim_customers(spark, sf_dir):
+    from .plans.star import dim_customers
+
+    return dim_customers(st(spark, sf_dir).decided)
+
+
+@register("g04_dim_actions", chain("mart", f"SELECT * FROM {_actions_sql()} a"))
+def g04_dim_actions(spark, sf_dir):
+    from .plans.star import dim_actions
+
+    return dim_actions(spark)
+
+
+@register(
+    "g05_dim_date",
+    chain(
+        "mart",
+        "SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_id, CAST(CAST(d AS DATE) AS VARCHAR) AS date, CAST(year(d) AS INT) AS year,"
+        " CAST(quarter(d) AS INT) AS quarter, CAST(month(d) AS INT) AS month, strftime(d, '%B') AS month_name,"
+        " CAST(weekofyear(d) AS INT) AS week, strftime(d, '%A') AS day_of_week FROM (SELECT unnest(generate_series("
+        "(SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders),"
+        " INTERVAL 1 DAY)) AS d) s",
+    ),
+)
+def g05_dim_date(spark, sf_dir):
+    from .plans.star import dim_date
+
+    d = dim_date(st(spark, sf_dir))
+    return d.withColumn("date", F.col("date").cast("string"))
+
+
+_G_MEASURES = (
+    "SELECT round_even(sum(expected_revenue_saved), 6) AS total_revenue_saved,"
+    " round_even(avg(churn_probability), 6) AS avg_churn_probability,"
+    " count(*) FILTER (WHERE churn_risk_level IN ('HIGH', 'CRITICAL')) AS high_risk_customers,"
+    " round_even(CASE WHEN sum(action_cost_usd) = 0 THEN 0e0 ELSE (sum(expected_revenue_saved) - sum(action_cost_usd))"
+    " / sum(action_cost_usd) END, 6) AS bi_campaign_roi,"
+    " round_even(sum(monthly_revenue * 12) FILTER (WHERE churn_probability >= 0.5e0), 6) AS revenue_at_risk,"
+    " round_even(1 - avg(churn_probability), 6) AS customer_health_index,"
+    " round_even(coalesce(sum(churn_probability * fact.expected_conversion_rate) / count(*), 0e0), 6) AS predicted_retention_rate,"
+    " round_even(avg(monthly_revenue * 18), 6) AS weighted_avg_clv,"
+    " count(*) FILTER (WHERE a.urgency = 'critical') AS critical_actions"
+    f" FROM fact LEFT JOIN {_actions_sql()} a USING (action_id)"
+)
+_G_COLS = ("total_revenue_saved", "avg_churn_probability", "bi_campaign_roi", "revenue_at_risk", "customer_health_index",
+           "predicted_retention_rate", "weighted_avg_clv")
+
+
+@register("g06_g14_bi_measures", _g_chain(_G_MEASURES))
+def g06_g14_bi_measures(spark, sf_dir):
+    from .plans.star import dim_actions, dim_customers, fact_predictions, measures
+
+    s = st(spark, sf_dir)
+    m = measures(fact_predictions(s), dim_customers(s.decided), dim_actions(spark))
+    return m.select(*[rint_to(F.col(c), 6).alias(c) if c in _G_COLS else F.col(c) for c in m.columns])
+
+
+@register(
+    "g11_top_archetype",
+    _g_chain("SELECT archetype_id, round_even(sum(monthly_revenue * 12) FILTER (WHERE churn_probability >= 0.5e0), 6)"
+             " AS revenue_at_risk FROM fact GROUP BY archetype_id ORDER BY revenue_at_risk DESC, archetype_id LIMIT 1"),
+)
+def g11_top_archetype(spark, sf_dir):
+    from .plans.star import dim_customers, fact_predictions, top_archetype
+
+    s = st(spark, sf_dir)
+    t = top_archetype(fact_predictions(s), dim_customers(s.decided))
+    return t.select("archetype_id", rint_to(F.col("revenue_at_risk"), 6).alias("revenue_at_risk"))
