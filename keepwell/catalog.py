@@ -1357,3 +1357,19 @@ def g11_top_archetype(spark, sf_dir):
     s = st(spark, sf_dir)
     t = top_archetype(fact_predictions(s), dim_customers(s.decided))
     return t.select("archetype_id", rint_to(F.col("revenue_at_risk"), 6).alias("revenue_at_risk"))
+
+
+@register("k11_cross_validation", None)
+def k11_cross_validation(spark, sf_dir):
+    from .operators.train import (PopulationScaler, class_weights, cross_validate, model_zoo, prepare,
+                                  stratified_split, with_weights)
+
+    s = st(spark, sf_dir)
+    split = stratified_split(s.features)
+    train = split.filter(~F.col("is_test"))
+    scaler = PopulationScaler().fit(train)
+    tr = prepare(with_weights(train, class_weights(train)), scaler).select("customer_id", "features", "label", "weight")
+    tr = tr.checkpoint(eager=True)
+    est = model_zoo("weight", tr.count(), light=True)["logistic_regression"]
+    m = cross_validate(est, tr, 5)
+    return spark.createDataFrame([(k + "_cv_mean", float(v)) for k, v in m.items()], "metric string, value double")
