@@ -7,6 +7,8 @@ the caller passes its own session and nothing here overrides cluster settings.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,28 +31,36 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only when it is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder, made known to the context.
+
+    A folder that the context already has stays.  Otherwise the session's
+    ``spark.checkpoint.dir`` is used, then ``fallback``.  With none of them a
+    local session (one machine, as in tests) gets a fresh temporary folder; a
+    cluster session gets an error, since its machines share no local folder.
+    The configuration key itself is never written.
+    """
+    sc = spark.sparkContext
+    have = sc.getCheckpointDir()
+    if have:
+        return have
+    d = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not d:
-        d = fallback or os.environ.get("KEEPWELL_CHECKPOINT_DIR", "/tmp/keepwell-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="keepwell-checkpoints-")
+    sc.setCheckpointDir(d)
     return d
 
 
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder.
 
-    Used at stage boundaries of the decision pipeline: the materialized table
-    is read back as a plain scan, so later filters are not pushed (and
-    inlined) through the deep derived expressions, every downstream report
-    re-reads instead of recomputing, and a lost executor recomputes at most
-    one stage.
+    Used where a result is read more than once or ends an iteration: a lost
+    executor recomputes at most one stage.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
