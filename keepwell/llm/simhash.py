@@ -31,12 +31,12 @@ from keepwell.session import materialize
 
 SEED = 42
 #: Fingerprints in a block, until there are MAX_BLOCKS of them; then blocks grow, so the table of blocks stays bounded.
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 131_072
 MAX_BLOCKS = 4_096
-#: Visiting fingerprints that one task searches against a block, in blocks' sizes.
-VISITORS = 4
+#: Fingerprints that one task searches against a block.
+ASKED = 32_768
 FANOUT = 4
-CHUNK = 4_096
+CHUNK = 1_024
 _VOTES = 100_000
 
 
@@ -174,9 +174,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     """
     rows = materialize(fingerprints(docs, shingle, id_col, text_col))
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    n = nodes.count()
-    n_blocks = max(1, min(MAX_BLOCKS, -(-n // BLOCK_ROWS)))
-    blocks = materialize(nodes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(n_blocks, "rank").select(F.spark_partition_id().alias("block"), "fp"))
+    blocks = materialize(_blocks(nodes))
     links = _links(blocks, max_bits)
     labels = connected_components(links, "a", "b")
     linked = nodes.join(labels, nodes.fp == labels.node).select("fp", "least", "root")
@@ -186,12 +184,41 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3,
     return rows.join(known, "fp").select("id", "fp", "component_id")
 
 
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(block, fp): runs of about equal size in Gray order."""
+    n_blocks = max(1, min(MAX_BLOCKS, -(-nodes.count() // BLOCK_ROWS)))
+    ranked = nodes.select("fp", gray_rank(F.col("fp")).alias("rank"))
+    shares = [k / n_blocks for k in range(1, n_blocks)]
+    # MAX_BLOCKS - 1 numbers at most.
+    cuts = np.array(ranked.agg(F.percentile_approx("rank", shares, 100_000)).first()[0] if shares else [], dtype=np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.searchsorted(cuts, batch.column("rank").to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("fp")], names=["block", "fp"])
+
+    return ranked.mapInArrow(place, "block int, fp long")
+
+
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    """One block as one row: its fingerprints in Gray order as bytes, and the bits they share."""
+    fp = group["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    rank = fp.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    low, high = np.bitwise_and.reduce(fp), np.bitwise_or.reduce(fp)
+    return pd.DataFrame({"block": group["block"].iloc[:1], "members": [fp[np.argsort(rank)].tobytes()], "low": [low.view(np.int64)], "high": [high.view(np.int64)]})
+
+
 def _links(blocks: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints that are to be connected."""
+    packed = materialize(blocks.groupBy("block").applyInPandas(_pack, "block int, members binary, low long, high long"))
     # One row per block, MAX_BLOCKS at most: the upper nodes of the hierarchy.
-    upper = blocks.groupBy("block").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("block").toPandas()
+    upper = packed.select("block", "low", "high").orderBy("block").toPandas()
     ids = upper["block"].to_numpy(dtype=np.int64)
     lows, highs = (upper[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("low", "high"))
+    if len(ids) == 0:
+        return blocks.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = GrayTree(lows, highs)
@@ -200,38 +227,26 @@ def _links(blocks: DataFrame, max_bits: int) -> DataFrame:
             for at in range(0, len(fp), CHUNK):
                 part, own = fp[at : at + CHUNK], home[at : at + CHUNK]
                 q, leaf = tree.search(part.view(np.uint64), max_bits, False)
-                later = ids[leaf] > own[q]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[leaf[later]].astype(np.int32)), pa.array(part[q[later]])], names=["block", "fp"])
-
-    if len(ids) == 0:
-        return blocks.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    visitors = blocks.mapInArrow(visits, "block int, fp long")
-    of_block = F.lit(0)
-    # A block with many visitors is searched by several tasks; each holds the whole block and a share of the visitors.
-    shares = blocks.groupBy("block").agg(F.count("*").alias("m")).join(visitors.groupBy("block").agg(F.count("*").alias("v")), "block", "left")
-    shares = materialize(shares.select("block", F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / (VISITORS * F.col("m")))).cast("int").alias("n")))
-    of_block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    members = blocks.join(F.broadcast(shares), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), "fp", F.lit(False).alias("visits"), of_block.alias("asks"))
-    guests = visitors.join(F.broadcast(shares), "block").select("block", of_block.alias("share"), "fp", F.lit(True).alias("visits"), of_block.alias("asks"))
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        fp = group["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        visits = group["visits"].to_numpy(dtype=bool)
-        members = fp[~visits]
-        rank = members.copy()
-        for shift in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(shift)
-        order = np.argsort(rank)
-        members = members[order]
-        asks = np.flatnonzero((group["asks"] == group["share"]).to_numpy()[~visits][order])
-        queries = np.concatenate([members[asks], fp[visits]])
-        own = np.concatenate([asks, np.full(int(visits.sum()), -1)])
-        labels = _forest(members, queries, own, max_bits)
+                mine = ids[leaf] >= own[q]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[leaf[mine]].astype(np.int32)), pa.array(part[q[mine]])], names=["block", "fp"])
+
+    # Each fingerprint is asked of its own block and of the later ones that may hold a link; a block that is asked much is searched by several tasks.
+    asked = blocks.mapInArrow(visits, "block int, fp long")
+    shares = materialize(asked.groupBy("block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("n")))
+    asked = asked.join(F.broadcast(shares), "block").select("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("share"), "fp")
+    trees = packed.join(F.broadcast(shares), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), "members")
+
+    def link(tree: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        members = np.frombuffer(tree["members"].iloc[0], dtype=np.uint64)
+        queries = asks["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+        by_value = np.argsort(members)
+        at = by_value[np.minimum(np.searchsorted(members, queries, sorter=by_value), len(members) - 1)]
+        labels = _forest(members, queries, np.where(members[at] == queries, at, -1), max_bits)
         every = np.concatenate([members, queries])
         far = every[labels] != every
         return pd.DataFrame({"a": every[far].view(np.int64), "b": every[labels[far]].view(np.int64)})
 
-    return members.unionByName(guests).groupBy("block", "share").applyInPandas(link, "a long, b long")
+    return trees.groupBy("block", "share").cogroup(asked.groupBy("block", "share")).applyInPandas(link, "a long, b long")
 
 
 def op10(docs: DataFrame) -> DataFrame:
