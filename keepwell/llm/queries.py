@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from keepwell.llm.columns import table
 from keepwell.llm.simhash import op10
+from keepwell.llm.suffix_dedup import op5
 
 QUERIES = {
+    "op5_suffix_array_dedup": lambda spark, d: op5(table(spark, d, "documents")),
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
 }
 
