@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from keepwell.llm.columns import table
+from keepwell.llm.packing import op2
 from keepwell.llm.simhash import op10
 from keepwell.llm.suffix_dedup import op5
 
+def _bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
+    "op2_best_fit_packing": lambda spark, d: op2(table(spark, d, "documents"), _bpe()),
     "op5_suffix_array_dedup": lambda spark, d: op5(table(spark, d, "documents")),
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
 }
