@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from keepwell.llm.columns import table
+from keepwell.llm import decontam
 from keepwell.llm.packing import op2
 from keepwell.llm.simhash import op10
 from keepwell.llm.suffix_dedup import op5
@@ -16,7 +17,10 @@ def _bpe() -> str:
 QUERIES = {
     "op2_best_fit_packing": lambda spark, d: op2(table(spark, d, "documents"), _bpe()),
     "op5_suffix_array_dedup": lambda spark, d: op5(table(spark, d, "documents")),
+    "op8_benchmark_decontamination": lambda spark, d: decontam.op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": decontam.SQL,
+}
