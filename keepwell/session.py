@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return d
 
 
+def written(df):
+    """``df`` written as a Parquet table in the shared checkpoint folder and read back.
+
+    For large intermediate results: compressed and column-wise, where
+    ``materialize`` keeps whole rows.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder.
 
