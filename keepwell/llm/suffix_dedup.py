@@ -4,7 +4,7 @@ Every window of ``length`` bytes of a text has a representative suffix: the
 one whose first GRAM bytes have the least hash among all that fit in the
 window.  Equal windows have the same representative at the same place, so two
 windows can only be equal if their representatives share a prefix of GRAM
-bytes.  Only representatives are indexed (about one suffix in 70).
+bytes.  Only representatives are indexed (about one suffix in 85).
 
 The index is a family of suffix arrays.  A suffix is held as the 64-bit
 signature of its first GRAM bytes, and an array is a table sorted by
@@ -16,8 +16,9 @@ as in binary counting, so a suffix is rewritten at most log2(batches) times.
 
 The signatures found give candidates.  An exact check follows.  The windows
 of one representative are a run; a run whose whole bytes occur again is
-repeated as a whole, and the windows of every other candidate run are counted
-one by one by a 128-bit hash of their bytes.
+repeated as a whole.  Other runs that share a signature are brought together
+with their bytes and their windows compared one by one; for a signature with
+very many different runs the windows are counted by a hash on the cluster.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keepwell.llm.columns import pa_type, schema_of, slices
-from keepwell.session import materialize
+from keepwell.session import written
 
-GRAM = 64
+GRAM = 32
 BATCHES = 4
+#: Different runs of one signature that one task compares at once; those of a more frequent signature are dealt out by window.
+TOGETHER = 4_096
 _POSITION = np.uint64(2**24 - 1)
 _SEEDS = (1, 2)
 
@@ -54,7 +57,7 @@ def signatures(data: np.ndarray) -> np.ndarray:
     h = _mix(view ^ np.uint64(0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
     h = _mix(h, 0x94D049BB133111EB)
     size = 8
-    for multiplier in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+    for multiplier in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
         h = _mix(h[:-size] * np.uint64(0x8EBC6AF09C88C6E3) + h[size:], multiplier)
         size *= 2
     return h
@@ -126,9 +129,10 @@ class SuffixArrayFamily:
         self._made = 0
 
     def _save(self, rows: DataFrame) -> str:
+        """``rows`` are dealt by signature into ``buckets`` partitions already."""
         self._made += 1
         name = f"{self._name}_{self._made}"
-        rows.repartition(self.buckets, "sig").write.bucketBy(self.buckets, "sig").sortBy("sig").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "sig").sortBy("sig").saveAsTable(name)
         return name
 
     def add(self, docs: DataFrame) -> None:
@@ -138,7 +142,7 @@ class SuffixArrayFamily:
         hits = batch.where("n > 1").select("sig")
         for level in self.levels.values():
             hits = hits.unionByName(batch.join(self.spark.table(level).select("sig"), "sig").select("sig"))
-        self.repeated.append(self._save(hits.distinct()))
+        self.repeated.append(self._save(hits.repartition(self.buckets, "sig").distinct()))
         k = 0
         while k in self.levels:
             old = self.levels.pop(k)
@@ -198,7 +202,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 names=[*(c for c in batch.schema.names if c != "text"), "t1", "t2", "packed"],
             )
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("t1", "long").add("t2", "long").add("packed", "binary")
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("t1", "long", False).add("t2", "long", False).add("packed", "binary", False)
     return docs.mapInArrow(run, schema)
 
 
@@ -208,39 +212,101 @@ def _windows(texts_and_runs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         digest = xxhash.xxh3_128_digest
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches, "packed"):
             for t1, t2, packed, runs in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "packed", "runs")), strict=True):
+                if (t1, t2) in seen:  # a copy of a text that this task has handled
+                    continue
+                seen.add((t1, t2))
                 text = unpack(packed)
-                place = np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in runs])
-                for at in range(0, len(place), 500_000):
-                    part = place[at : at + 500_000]
-                    h = np.frombuffer(b"".join([digest(text[i : i + length]) for i in part.tolist()]), dtype=np.int64).reshape(-1, 2)
-                    k = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(k, t1)), pa.array(np.full(k, t2)), pa.array(part)], names=["h1", "h2", "t1", "t2", "place"])
+                for r in runs:
+                    place = np.arange(r["first"], r["first"] + r["n"])
+                    h = np.frombuffer(b"".join([digest(text[i : i + length]) for i in place.tolist()]), dtype=np.int64).reshape(-1, 2)
+                    k = len(place)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(k, t1)), pa.array(np.full(k, t2)), pa.array(place)], names=["h1", "h2", "t1", "t2", "place"])
+
+    return texts_and_runs.select("id", "t1", "t2", "packed", "runs").mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, place long")
+
 
-    return texts_and_runs.mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, place long")
+def _contents(texts_and_runs: DataFrame, length: int) -> DataFrame:
+    """(sig, t1, t2, first, n, single, data): the runs given per text with all their bytes."""
+    names = ["sig", "t1", "t2", "first", "n", "single", "data"]
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.binary()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        seen: set[tuple[int, int]] = set()
+        for batch in slices(batches, "packed"):
+            out = []
+            for t1, t2, packed, runs in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "packed", "runs")), strict=True):
+                if (t1, t2) in seen:  # a copy of a text that this task has handled
+                    continue
+                seen.add((t1, t2))
+                text = unpack(packed)
+                out += [(r["sig"], t1, t2, r["first"], r["n"], r["single"], text[r["first"] : r["first"] + r["n"] - 1 + length]) for r in runs]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-def repeated_windows(docs: DataFrame, length: int, batches: int = BATCHES) -> DataFrame:
+    return texts_and_runs.select("id", "t1", "t2", "packed", "runs").mapInArrow(run, "sig long, t1 long, t2 long, first long, n long, single boolean, data binary")
+
+
+def _compared(contents: DataFrame, length: int) -> DataFrame:
+    """(t1, t2, first, n): the repeated windows of single runs, whole signatures at a time."""
+
+    def repeated(rows: pa.Table) -> pa.RecordBatch:
+        digest = xxhash.xxh3_64_intdigest
+        t1, t2, first, n, single, data = (rows.column(c).to_pylist() for c in ("t1", "t2", "first", "n", "single", "data"))
+        h = np.array([digest(d[i : i + length]) for d, k in zip(data, n, strict=True) for i in range(k)], dtype=np.uint64)
+        _, of, copies = np.unique(h, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        again = np.flatnonzero((copies[of] > 1) & np.array(single)[row])
+        starts = np.flatnonzero(np.concatenate(([True], (np.diff(again) != 1) | (np.diff(row[again]) != 0)))) if len(again) else np.zeros(0, dtype=np.int64)
+        many = np.diff(np.concatenate((starts, [len(again)])))
+        at = again[starts]
+        who = row[at]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(t1, dtype=np.int64)[who]), pa.array(np.array(t2, dtype=np.int64)[who]), pa.array(np.array(first, dtype=np.int64)[who] + within[at]), pa.array(many)], names=["t1", "t2", "first", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in slices(batches, "data"):
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            sig = rows.column("sig").to_numpy()
+            done = int(np.searchsorted(sig, sig[-1]))
+            if done:
+                yield repeated(rows.slice(0, done))
+            held = rows.slice(done)
+        if held is not None:
+            yield repeated(held)
+
+    return contents.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "t1 long, t2 long, first long, n long")
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, batches: int = BATCHES) -> DataFrame:
     """(t1, t2, first, n): runs of window starts whose ``length`` bytes start anywhere else too, by text.
 
-    ``docs`` has ``text`` as bytes.  Texts shorter than ``length`` have no window.
+    ``docs`` has ``text`` as bytes; ``texts`` are the same rows as ``_keyed``
+    gives them.  Texts shorter than ``length`` have no window.
     """
-    spark = docs.sparkSession
-    family = SuffixArrayFamily(spark, length)
+    family = SuffixArrayFamily(docs.sparkSession, length)
     for k in range(batches):
         family.add(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
-    candidates = materialize(_runs_of(docs.select("text"), length).join(family.matches(), "sig"))
+    candidates = written(_runs_of(docs.select("text"), length).join(family.matches(), "sig"))
     family.close()
     # One row for each different run of a signature; a signature with one such run only has nothing else to compare.
-    different = materialize(candidates.groupBy("sig", "run").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "n")).alias("one")))
+    different = written(candidates.groupBy("sig", "run").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "n")).alias("one")))
     whole = candidates.join(different.where("copies > 1").select("sig", "run"), ["sig", "run"]).select("t1", "t2", "first", "n")
-    unlike = different.groupBy("sig").agg(F.count("*").alias("runs")).where("runs > 1").select("sig")
-    asked = different.join(unlike, "sig").select("one.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    windows = materialize(_windows(_keyed(docs.select("text")).join(asked, ["t1", "t2"]), length))
+    unlike = different.groupBy("sig").agg(F.count("*").alias("runs")).where("runs > 1")
+    asked = written(different.join(unlike, "sig").select("one.*", "sig", (F.col("copies") == 1).alias("single"), "runs"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return texts.join(rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("sig", "first", "n", "single")).alias("runs")), ["t1", "t2"])
+
+    few = _compared(_contents(with_texts(asked.where(F.col("runs") <= TOGETHER)), length), length)
+    windows = _windows(with_texts(asked.where(F.col("runs") > TOGETHER)), length)
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2")
-    single = windows.join(again, ["h1", "h2"]).select("t1", "t2", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(single)
+    many = windows.join(again, ["h1", "h2"]).select("t1", "t2", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
+    return whole.unionByName(few).unionByName(many)
 
 
 def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -255,8 +321,9 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
-    found = repeated_windows(rows, length, batches).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    joined = _keyed(rows).join(found, ["t1", "t2"], "left").select("id", "packed", "runs")
+    texts = _keyed(rows)
+    found = repeated_windows(rows, texts, length, batches).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    joined = texts.join(found, ["t1", "t2"], "left").select("id", "packed", "runs")
     schema = schema_of(rows, "id", ("text", "binary"), ("kept", "binary"), ("spans", "array<struct<start:long,end:long>>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
