@@ -291,7 +291,8 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, batches: in
     family = SuffixArrayFamily(docs.sparkSession, length)
     for k in range(batches):
         family.add(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
-    candidates = written(_runs_of(docs.select("text"), length).join(family.matches(), "sig"))
+    repeated = written(family.matches())  # a plain table, so that Spark can split a frequent signature's rows in the join
+    candidates = written(_runs_of(docs.select("text"), length).join(repeated, "sig"))
     family.close()
     # One row for each different run of a signature; a signature with one such run only has nothing else to compare.
     different = written(candidates.groupBy("sig", "run").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "n")).alias("one")))
