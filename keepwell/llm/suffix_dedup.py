@@ -344,6 +344,26 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     return joined.mapInArrow(cut, schema)
 
 
+def without_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what ``remove_repeated`` leaves of each text; all columns stay.
+
+    A character of which a part is removed goes as a whole.  A row whose text
+    is removed entirely goes; a row that had no text stays as it is.
+    """
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    out = remove_repeated(docs.select(row.alias("row"), docs[text_col].alias("text"), docs[text_col].isNull().alias("none")).select(F.struct("row", "none").alias("row"), "text"), length, "row", "text")
+    schema = schema_of(out, "id", ("text", "string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+
+    kept = out.where((F.octet_length("kept") > 0) | (F.octet_length("text") == 0)).select("id", "kept").mapInArrow(run, schema)
+    text = F.when(F.col("id.none"), F.lit(None)).otherwise(F.col("text"))
+    return kept.select(*[(text if c == text_col else F.col(f"id.row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one, in order."""
     out: list[tuple[int, int]] = []
