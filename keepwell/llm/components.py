@@ -11,19 +11,23 @@ from keepwell.session import materialize
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of a link; root is one node of its component.
 
-    Each round every node points to the smallest of itself and its
-    neighbours, pointers are followed once more, and links are redrawn
-    between the pointers; links inside a component vanish.  The links at
-    least halve in depth each round, so rounds grow with the logarithm of the
-    longest chain.  Neighbours are never gathered: a node's minimum is a
-    pre-aggregated ``min``.  Self links and repeated links are allowed.  No
-    links give no rows.
+    Each round every node points to the one of itself and its neighbours
+    whose hash is least, pointers are followed once more, and links are
+    redrawn between the pointers; links inside a component vanish.  Hashes
+    change with the round, so a share of the nodes goes in each, whatever the
+    order along a chain, and rounds grow with the logarithm of the longest.
+    Neighbours are never gathered: a node's choice is a pre-aggregated
+    ``min``.  Self links and repeated links are allowed.  No links give no
+    rows.
     """
     links = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    labels = None
+    labels, rounds = None, 0
     while not links.isEmpty():
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        first = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        rounds += 1
+        hashed = F.xxhash64(F.lit(rounds), "v")
+        least = both.groupBy("u").agg(F.min(F.struct(hashed.alias("h"), "v")).alias("least"))
+        first = least.select("u", F.when(F.col("least.h") < F.xxhash64(F.lit(rounds), "u"), F.col("least.v")).otherwise(F.col("u")).alias("p"))
         then = first.select(F.col("u").alias("p"), F.col("p").alias("q"))
         up = materialize(first.join(then, "p").select("u", F.col("q").alias("p")))
         if labels is None:
