@@ -124,7 +124,7 @@ class SuffixArrayFamily:
         self.spark, self.length = spark, length
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, str] = {}
-        self.repeated: list[str] = []
+        self.repeated: list[DataFrame] = []
         self._name = f"suffix_arrays_{uuid.uuid4().hex}"
         self._made = 0
 
@@ -139,10 +139,10 @@ class SuffixArrayFamily:
         """Index a batch, scan it against all levels, and merge levels of equal size."""
         new = self._save(_suffix_arrays(docs, self.length).repartition(self.buckets, "sig").groupBy("sig").agg(F.sum("n").alias("n")))
         batch = self.spark.table(new)
-        hits = batch.where("n > 1").select("sig")
+        # Each part is written by itself: Spark 4.1 takes a union of bucketed tables for one bucketed table, and a distinct of it leaves repeated rows.
+        self.repeated.append(written(batch.where("n > 1").select("sig")))
         for level in self.levels.values():
-            hits = hits.unionByName(batch.join(self.spark.table(level).select("sig"), "sig").select("sig"))
-        self.repeated.append(self._save(hits.repartition(self.buckets, "sig").distinct()))
+            self.repeated.append(written(batch.select("sig").join(self.spark.table(level).select("sig"), "sig")))
         k = 0
         while k in self.levels:
             old = self.levels.pop(k)
@@ -154,19 +154,18 @@ class SuffixArrayFamily:
 
     def matches(self) -> DataFrame:
         """(sig): every signature that occurs twice or more in what was added."""
-        out = self.spark.table(self.repeated[0])
-        for name in self.repeated[1:]:
-            out = out.unionByName(self.spark.table(name))
-        # Dealt anew: Spark 4.1 takes a union of bucketed tables for one bucketed table, and a distinct right on it leaves repeated rows.
-        return out.repartition("sig").distinct()
+        out = self.repeated[0]
+        for part in self.repeated[1:]:
+            out = out.unionByName(part)
+        return out.distinct()
 
     def _drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def close(self) -> None:
-        self._drop(*self.levels.values(), *self.repeated)
-        self.levels, self.repeated = {}, []
+        self._drop(*self.levels.values())
+        self.levels = {}
 
 
 def _runs_of(docs: DataFrame, length: int) -> DataFrame:
