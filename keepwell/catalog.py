@@ -1295,13 +1295,6 @@ def g02_dim_customers(spark, sf_dir):
     return dim_customers(st(spark, sf_dir).decided)
 
 
-@register("g04_dim_actions", chain("mart", f"SELECT * FROM {_actions_sql()} a"))
-def g04_dim_actions(spark, sf_dir):
-    from .plans.star import dim_actions
-
-    return dim_actions(spark)
-
-
 @register(
     "g05_dim_date",
     chain(
@@ -1364,12 +1357,14 @@ def k11_cross_validation(spark, sf_dir):
     from .operators.train import (PopulationScaler, class_weights, cross_validate, model_zoo, prepare,
                                   stratified_split, with_weights)
 
+    from .session import materialize
+
     s = st(spark, sf_dir)
     split = stratified_split(s.features)
     train = split.filter(~F.col("is_test"))
     scaler = PopulationScaler().fit(train)
     tr = prepare(with_weights(train, class_weights(train)), scaler).select("customer_id", "features", "label", "weight")
-    tr = tr.checkpoint(eager=True)
-    est = model_zoo("weight", tr.count(), light=True)["logistic_regression"]
+    tr = materialize(tr)
+    est = model_zoo("weight", tr.count())["logistic_regression"]
     m = cross_validate(est, tr, 5)
     return spark.createDataFrame([(k + "_cv_mean", float(v)) for k, v in m.items()], "metric string, value double")

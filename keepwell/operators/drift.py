@@ -75,8 +75,11 @@ def psi_table(long: DataFrame) -> DataFrame:
     edges = q.groupBy("feature").agg(
         F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("edges")
     )
-    sizes = vals.groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "prod").alias("n_prod")
+    # every feature, also one without a value on either side
+    there = F.col("value").isNotNull()
+    sizes = long.groupBy("feature").agg(
+        F.count_if(there & (F.col("side") == "ref")).alias("n_ref"),
+        F.count_if(there & (F.col("side") == "prod")).alias("n_prod"),
     )
     e = edges.join(sizes, "feature", "right")
     nb = F.size("edges") - 1
@@ -125,8 +128,11 @@ def ks_table(long: DataFrame) -> DataFrame:
         F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "prod").alias("c_prod")
     )
     cum = cumulative(per_value, ["feature"], "value", ["c_ref", "c_prod"])
-    sizes = vals.groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "prod").alias("n_prod")
+    # every feature, also one without a value on either side
+    there = F.col("value").isNotNull()
+    sizes = long.groupBy("feature").agg(
+        F.count_if(there & (F.col("side") == "ref")).alias("n_ref"),
+        F.count_if(there & (F.col("side") == "prod")).alias("n_prod"),
     )
     diff = cum.join(sizes, "feature").select(
         "feature",

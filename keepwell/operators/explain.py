@@ -13,20 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MODEL_FEATURES
+from ..sources.mart import LOGIT_WEIGHTS
 
-# ---- fixed values: weights of the noise-free generator logit (score B18), per model feature ----
-BASELINE_WEIGHTS = {
-    "days_since_last_login": 0.04,
-    "days_since_last_core_action": 0.03,
-    "sessions_30d": -0.015,
-    "ticket_count": 0.08,
-    "support_sentiment": -1.2,
-    "billing_page_visits": 1.5 / 5,
-    "downgrade_page_visits": 1.2 / 3,
-    "error_rate": 0.6,
-    "tenure_months": -0.01,
-    "login_frequency_change": -0.5,
-}
+BASELINE_WEIGHTS = LOGIT_WEIGHTS
 TOP_N = 5
 
 

@@ -50,7 +50,10 @@ def per_customer(df: DataFrame, a: ImpactAssumptions = DEFAULTS) -> DataFrame:
     )
 
 
-def _grouped(df: DataFrame, a: ImpactAssumptions) -> DataFrame:
+_SUMS = {"p_saved": "p_saved", "revenue_saved": "revenue_saved", "cost": "campaign_cost_total", "profit": "incremental_profit"}
+
+
+def _grouped(df: DataFrame, a: ImpactAssumptions, totals_only: bool = False) -> DataFrame:
     if "revenue_saved" not in df.columns:
         df = per_customer(df, a)
     keys = [k for k in ("churn_archetype", "urgency") if k in df.columns]
@@ -61,17 +64,15 @@ def _grouped(df: DataFrame, a: ImpactAssumptions) -> DataFrame:
     sets = [[]] + [[F.col(k)] for k in keys]
     conv = col_or(df, "expected_conversion_rate", 0.1)
     mrr = col_or(df, "monthly_revenue", 100.0)
-    return df.groupingSets(sets, "churn_archetype", "urgency").agg(
-        F.grouping_id().alias("gid"),
+    sums = [
         F.count(F.lit(1)).alias("rows"),
-        F.sum(mrr).alias("mrr"),
-        F.sum("p_saved").alias("p_saved"),
-        F.sum("revenue_saved").alias("revenue_saved"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in (("mrr", mrr), *((x, F.col(y)) for x, y in _SUMS.items()))],
         F.avg("revenue_saved").alias("mean_revenue_saved"),
-        F.sum("campaign_cost_total").alias("cost"),
-        F.sum("incremental_profit").alias("profit"),
         F.avg(conv).alias("avg_conversion"),
-    )
+    ]
+    if totals_only:
+        return df.agg(*sums).withColumn("gid", F.lit(3))
+    return df.groupingSets(sets, "churn_archetype", "urgency").agg(F.grouping_id().alias("gid"), *sums)
 
 
 def _totals_from(g: DataFrame, a: ImpactAssumptions) -> DataFrame:
@@ -102,10 +103,10 @@ def _totals_from(g: DataFrame, a: ImpactAssumptions) -> DataFrame:
 def impact_totals(df: DataFrame, a: ImpactAssumptions = DEFAULTS) -> DataFrame:
     """One row of rounded totals, roi_pct and payback_months.
 
-    An empty input yields no row (the aggregation has no group), like an
-    empty report; use ``impact_report`` for all three tables from one pass.
+    An empty input yields one row of zeros; use ``impact_report`` for all
+    three tables from one pass.
     """
-    return _totals_from(_grouped(df, a), a)
+    return _totals_from(_grouped(df, a, totals_only=True), a)
 
 
 def impact_by_archetype(df: DataFrame, a: ImpactAssumptions = DEFAULTS) -> DataFrame:

@@ -396,10 +396,3 @@ def explorer(df: DataFrame, min_prob: float, archetypes: list[str], urgencies: l
         if c in df.columns
     ]
     return df.filter(cond).orderBy(F.desc("churn_probability"), "customer_id").limit(limit).select(*cols)
-
-
-def unused_name_lookup() -> dict:  # pragma: no cover - exposes the fixed name map
-    return dict(ARCHETYPE_NAME)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["safe_div"]

@@ -150,6 +150,8 @@ def condition_sql(columns: list[str], key: str, threshold) -> str:
             if feature not in columns:
                 return "true"
             x = f"`{feature}`"
+            if isinstance(threshold, str):
+                return f"coalesce({x} {ops[suffix]} {_lit_sql(threshold)}, false)"
             # null and NaN compare false, as in the row-wise original
             return f"coalesce({x} {ops[suffix]} {_lit_sql(threshold)} AND NOT isnan(CAST({x} AS DOUBLE)), false)"
     return "false"
@@ -238,13 +240,14 @@ def rules_frame(spark: SparkSession, rules: RuleSet | None = None) -> DataFrame:
 
 
 def conditions_frame(spark: SparkSession, rules: RuleSet | None = None) -> DataFrame:
-    """Conditions exploded to (rule_id, feature, op, threshold)."""
+    """Conditions exploded to (rule_id, feature, op, threshold, threshold_text); text thresholds are in the last column."""
     rules = rules or load_rules()
     rows = []
     for r in rules.rules:
         for k, v in r.conditions.items():
             op = next((s[1:] for s, _ in SUFFIX_OPS if k.endswith(s)), None)
             feat = k[: -(len(op) + 1)] if op else k
-            rows.append((r.id, feat, op, float(v)))
-    schema = "rule_id string, feature string, op string, threshold double"
+            text = v if isinstance(v, str) else None
+            rows.append((r.id, feat, op, None if text is not None else float(v), text))
+    schema = "rule_id string, feature string, op string, threshold double, threshold_text string"
     return spark.createDataFrame(rows, schema)

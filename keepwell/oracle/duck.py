@@ -54,7 +54,7 @@ e AS (
   FROM events GROUP BY user_id),
 mart0 AS (
 SELECT c_custkey,
-  concat('CUST-', lpad(CAST(c_custkey + 1 AS VARCHAR), 6, '0')) AS customer_id,
+  concat('CUST-', lpad(CAST(c_custkey + 1 AS VARCHAR), CAST(greatest(6, length(CAST(c_custkey + 1 AS VARCHAR))) AS INTEGER), '0')) AS customer_id,
   CASE WHEN c_acctbal < 3400e0 THEN 'Starter' WHEN c_acctbal < 6700e0 THEN 'Professional'
        WHEN c_acctbal < 8900e0 THEN 'Business' ELSE 'Enterprise' END AS subscription_type,
   CASE WHEN c_acctbal < 3400e0 THEN 29e0 + (c_custkey * 7919 % 5001) / 100e0

@@ -24,7 +24,7 @@ def active_users(stages: Stages, production: bool) -> DataFrame:
     day0 = stages.tables.events.select(F.min(F.to_date("ts"))).scalar()
     cut = F.date_add(day0, WINDOW_DAYS)
     cond = F.col("d") >= cut if production else F.col("d") < cut
-    return ev.filter(cond).select("user_id")
+    return ev.filter(cond).select("user_id").distinct()
 
 
 def batches(stages: Stages) -> tuple[DataFrame, DataFrame]:

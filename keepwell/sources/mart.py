@@ -39,21 +39,30 @@ def _i(c: Column) -> Column:
     return c.cast("int")
 
 
+def _padded(digits: Column) -> Column:
+    """At least six digits; longer numbers stay whole."""
+    return F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+
+
+# ---- fixed values: the generator's noise-free churn logit, weight by column ----
+LOGIT_BASE = -2.5
+LOGIT_WEIGHTS = {
+    "days_since_last_login": 0.04,
+    "days_since_last_core_action": 0.03,
+    "sessions_30d": -0.015,
+    "ticket_count": 0.08,
+    "support_sentiment": -1.2,
+    "billing_page_visits": 0.3,
+    "downgrade_page_visits": 0.4,
+    "error_rate": 0.6,
+    "tenure_months": -0.01,
+    "login_frequency_change": -0.5,
+}
+
+
 def label_logit(c=F.col) -> Column:
     """Noise-free churn logit of the synthetic generator (deterministic score B18 input)."""
-    return (
-        F.lit(-2.5)
-        + F.lit(0.04) * c("days_since_last_login")
-        + F.lit(0.03) * c("days_since_last_core_action")
-        - F.lit(0.015) * c("sessions_30d")
-        + F.lit(0.08) * c("ticket_count")
-        - F.lit(1.2) * c("support_sentiment")
-        + F.lit(1.5) * c("billing_page_visits") / 5
-        + F.lit(1.2) * c("downgrade_page_visits") / 3
-        + F.lit(0.6) * c("error_rate")
-        - F.lit(0.01) * c("tenure_months")
-        + F.lit(0.5) * c("login_frequency_change") * -1
-    )
+    return sum((F.lit(w) * c(name) for name, w in LOGIT_WEIGHTS.items()), F.lit(LOGIT_BASE))
 
 
 def customer_aggregates(t: Tables) -> DataFrame:
@@ -148,7 +157,7 @@ def customer_mart(t: Tables, with_label: bool = True, keep_key: bool = True) ->
     )
     n = z("n")
     cols = [
-        F.concat(F.lit("CUST-"), F.lpad((key + 1).cast("string"), 6, "0")).alias("customer_id"),
+        F.concat(F.lit("CUST-"), _padded((key + 1).cast("string"))).alias("customer_id"),
         by_tier({k: F.lit(k) for k in MRR_BASE}).alias("subscription_type"),
         mrr.alias("monthly_revenue"),
         _i(F.lit(1) + (key * 31 % 84)).alias("tenure_months"),
