@@ -30,7 +30,7 @@ from keepwell.session import materialize
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a task remembers; further words are encoded anew in each slice.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -52,7 +52,7 @@ class WordCoder:
         self.later: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _known(self, words: set[str], memory: dict[str, bytes | None], before: str) -> dict[str, bytes | None]:
         new = [w for w in words if w not in memory]
