@@ -31,6 +31,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a task remembers; further words are encoded anew in each slice.
 REMEMBERED = 1_000_000
+#: Words that the tokenizer is given at once; its result for a word is far larger than the ids.
+TOGETHER = 1_024
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -52,7 +54,11 @@ class WordCoder:
         self.later: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False)
+            out.extend(np.array(e.ids, dtype="<u4").tobytes() for e in found)
+        return out
 
     def _known(self, words: set[str], memory: dict[str, bytes | None], before: str) -> dict[str, bytes | None]:
         new = [w for w in words if w not in memory]
