@@ -355,13 +355,16 @@ def _lf(features: list[str], ref: str, prod: str) -> str:
 
 
 def monitoring_chain(features: list[str], body: str) -> str:
-    """Scored customers split by event window (days 1-15 vs 16+), then drift CTEs."""
+    """All customers scored as of 730 days before the last order (events: first 15 days) vs now, then drift CTEs."""
     base = chain("scored", "SELECT 1").removesuffix("\nSELECT 1").rstrip()
+    stages = base.removeprefix("WITH")
     extra = f""",
-evd AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events),
-ev0 AS (SELECT min(d) AS d0 FROM evd),
-refc AS (SELECT * FROM scored2 WHERE c_custkey IN (SELECT user_id FROM evd, ev0 WHERE d < d0 + 15)),
-prodc AS (SELECT * FROM scored2 WHERE c_custkey IN (SELECT user_id FROM evd, ev0 WHERE d >= d0 + 15)),
+orders_early AS (SELECT * FROM orders
+  WHERE CAST(o_orderdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 730),
+events_early AS (SELECT * FROM events WHERE CAST(ts AS DATE) < (SELECT min(CAST(ts AS DATE)) FROM events) + 15),
+refc AS (WITH orders AS (SELECT * FROM orders_early), events AS (SELECT * FROM events_early), {stages}
+  SELECT * FROM scored2),
+prodc AS (SELECT * FROM scored2),
 lf AS ({_lf(features, 'refc', 'prodc')}),
 lfp AS ({_lf(['churn_probability'], 'refc', 'prodc')}),
 {drift_ctes(features, 'lf')}{drift_ctes(['churn_probability'], 'lfp', '_p')}

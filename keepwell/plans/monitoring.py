@@ -1,37 +1,55 @@
 """Monitoring plan: reference vs production batches from the test tables.
 
-The reference batch is the scored customers active (any event) in the first
-15 days of the event log, the production batch those active from day 16 on.
-The split is by event time over the whole ``events`` table; the day-0 is a
-scalar subquery (no hard-coded date).  Membership is a left-semi join, so
-no customer row is duplicated when a customer has many events.
+Both batches hold every customer.  The production batch is scored on the
+whole order and event logs; the reference batch is scored as of an earlier
+day, from the orders up to ``REFERENCE_AGE`` days before the last one and the
+events of the first ``REFERENCE_EVENT_DAYS`` days.  Behaviour that adds up
+over time drifts between the two, behaviour within a fixed window hardly, and
+attributes of the customer not at all.  The days are scalar subqueries (no
+hard-coded date).
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import drift
 from ..schema import MODEL_FEATURES
+from ..sources.tables import Tables
 from .batch import Stages
 
-WINDOW_DAYS = 15
+REFERENCE_AGE = 730
+REFERENCE_EVENT_DAYS = 15
+
+
+class EarlierTables(Tables):
+    """The tables as they stood on the reference day."""
+
+    @property
+    def orders(self) -> DataFrame:
+        rows = self.read("orders")
+        last = rows.select(F.max(F.to_date("o_orderdate"))).scalar()
+        return rows.where(F.to_date("o_orderdate") <= F.date_sub(last, REFERENCE_AGE))
+
+    @property
+    def events(self) -> DataFrame:
+        rows = self.read("events")
+        first = rows.select(F.min(F.to_date("ts"))).scalar()
+        return rows.where(F.to_date("ts") < F.date_add(first, REFERENCE_EVENT_DAYS))
 
 
-def active_users(stages: Stages, production: bool) -> DataFrame:
-    ev = stages.tables.events.select("user_id", F.to_date("ts").alias("d"))
-    day0 = stages.tables.events.select(F.min(F.to_date("ts"))).scalar()
-    cut = F.date_add(day0, WINDOW_DAYS)
-    cond = F.col("d") >= cut if production else F.col("d") < cut
-    return ev.filter(cond).select("user_id").distinct()
+class EarlierStages(Stages):
+    @cached_property
+    def tables(self) -> Tables:
+        return EarlierTables(self.spark, self.sf_dir)
 
 
 def batches(stages: Stages) -> tuple[DataFrame, DataFrame]:
-    scored = stages.scored
-    ref = scored.join(active_users(stages, False), scored.c_custkey == F.col("user_id"), "left_semi")
-    prod = scored.join(active_users(stages, True), scored.c_custkey == F.col("user_id"), "left_semi")
-    return ref, prod
+    reference = EarlierStages(stages.spark, stages.sf_dir, stages.threshold, stages.materialized)
+    return reference.scored, stages.scored
 
 
 def monitor(stages: Stages, features: list[str] = MODEL_FEATURES) -> dict:

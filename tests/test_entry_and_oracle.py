@@ -20,14 +20,15 @@ SAMPLE = [
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert "churn_probability" in df.columns and "action" in df.columns
 
 
 def test_every_query_has_oracle_or_is_documented():
     qs, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) <= {"k01_stratified_split", "k11_cross_validation", "k12_model_comparison",
+    # The optional subpackage's own tests hold its queries without SQL against plain versions.
+    assert set(qs) - set(sqls) - set(entry.LLM_QUERIES) <= {"k01_stratified_split", "k11_cross_validation", "k12_model_comparison",
                                    "k18_quality_gates", "m05_narrative"}
 
 

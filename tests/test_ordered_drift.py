@@ -73,3 +73,27 @@ def test_psi_labels(spark):
     df = spark.createDataFrame([(0.05,), (0.15,), (0.25,)], "p double")
     got = [r[0] for r in df.select(drift.psi_label(F.col("p"))).collect()]
     assert [g.split(" ", 1)[1] for g in got] == ["No Drift", "Minor Drift", "Major Drift"]
+
+
+def test_quality_flags_nulls_and_values_out_of_range(spark):
+    kind = "same double, nulls double, far double, gone double"
+    ref = spark.createDataFrame([(float(i), float(i), float(i), float(i)) for i in range(20)], kind)
+    prod = spark.createDataFrame([(float(i), None if i < 4 else float(i), 1000.0 if i < 2 else float(i), None) for i in range(20)], kind)
+    got = {r["feature"]: r for r in drift.data_quality(ref, prod, ["same", "nulls", "far", "gone"]).collect()}
+    assert {f: r["quality_ok"] for f, r in got.items()} == {"same": True, "nulls": False, "far": False, "gone": False}
+    assert got["nulls"]["null_increase"] == 0.2
+    assert got["far"]["out_of_range_pct"] == 0.1
+    assert got["gone"]["out_of_range_pct"] == 1.0
+
+
+def test_monitored_batches_hold_all_customers_and_drift_in_part(spark):
+    from keepwell.plans.batch import Stages
+    from keepwell.plans.monitoring import batches
+
+    from conftest import SF_SMALL
+
+    ref, prod = batches(Stages(spark, SF_SMALL))
+    assert ref.count() == prod.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    psi = {r["feature"]: r["psi"] for r in drift.psi_table(drift.both_sides(ref, prod, ["tenure_months", "sessions_30d", "api_usage"])).collect()}
+    assert psi["tenure_months"] == 0.0
+    assert psi["api_usage"] >= 0.25
