@@ -143,25 +143,30 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_l
     """(language, sample text): a sample of at most ``per_lang`` characters for each label, ``total`` in all.
 
     The sample is bounded, so it may pass through the driver.  Its texts are
-    chosen by a hash of their content, at a rate that follows from the
-    characters there are of each language; so every labelled text can enter,
-    and copies enter together.  Languages beyond ``total`` / 100, the rarest
-    first, are not learned.
+    chosen by a hash of what may enter of them, at a rate that follows from the
+    characters there are of each language in different texts; so every labelled
+    text can enter, and copies count and enter once.  A language whose draw is
+    short is drawn again at a higher rate, up to all its texts.  Languages
+    beyond ``total`` / 100, the rarest first, are not learned.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    cut = F.least(F.length("text"), F.lit(SAMPLE_TEXT))
-    there = rows.groupBy("lang").agg(F.sum(cut).alias("n")).orderBy(F.desc("n"), "lang").limit(total // 100)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_TEXT).alias("text"))
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.length("text")).alias("n"))
+    there = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(total // 100)
     sizes = {r["lang"]: r["n"] for r in there.collect() if r["n"]}
     if not sizes:
         return []
     share = min(per_lang, total // len(sizes))
     # Thrice the wanted amount, then cut: the amount in a sample by rate varies.
-    rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3.0 * (share + SAMPLE_TEXT) / n))])
-    place = F.pmod(F.xxhash64("text"), F.lit(2**40)) / float(2**40)
-    chosen = rows.withColumn("place", place).where(F.col("place") < rates[F.col("lang")]).select("lang", "place", F.substring("text", 1, SAMPLE_TEXT).alias("text"))
+    rates = {lang: min(1.0, 3.0 * (share + SAMPLE_TEXT) / n) for lang, n in sizes.items()}
+    placed = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(2**40)) / float(2**40))
     by_lang: dict[str, list[tuple[float, str]]] = {}
-    for r in chosen.distinct().collect():
-        by_lang.setdefault(r["lang"], []).append((r["place"], r["text"]))
+    while rates:
+        rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+        drawn: dict[str, list[tuple[float, str]]] = {lang: [] for lang in rates}
+        for r in placed.where(F.col("place") < rate[F.col("lang")]).distinct().collect():
+            drawn[r["lang"]].append((r["place"], r["text"]))
+        by_lang |= drawn
+        rates = {lang: min(1.0, 4 * x) for lang, x in rates.items() if x < 1 and sum(len(t) for _, t in drawn[lang]) < min(share, sizes[lang])}
     return [(lang, "\n".join(t for _, t in sorted(texts))[:share]) for lang, texts in sorted(by_lang.items())]
 
 

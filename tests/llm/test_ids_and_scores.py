@@ -175,3 +175,24 @@ def test_licence_scan(spark, odd, none):
         places = [(i, v) for p, v in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({v for _, v in places})))
         assert (r.first_word, r.last_word) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+
+
+def test_copies_do_not_starve_a_language_sample(spark):
+    from pyspark.sql import functions as F
+
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(80)])
+    copies = spark.range(20_000).select(F.lit("xx").alias("lang"), F.repeat(F.lit("copied text "), 50).alias("text"))
+    others = spark.range(100).select(F.lit("xx").alias("lang"), F.substring(words, 1, 600).alias("text"))
+    clean = spark.range(300).select(F.lit("yy").alias("lang"), F.substring(words, 1, 500).alias("text"))
+    samples = dict(language.learn(copies.union(others).union(clean)))
+    assert {k: len(v) for k, v in samples.items()} == {"xx": language.SAMPLE_CHARS, "yy": language.SAMPLE_CHARS}
+    assert samples["xx"].count("copied text") <= 50
+
+
+def test_a_language_whose_draw_is_short_is_drawn_again(spark):
+    from pyspark.sql import functions as F
+
+    lang = F.concat(F.lit("l"), (F.col("id") % 60).cast("string"))
+    docs = spark.range(60 * 60).select(lang.alias("lang"), F.substring(F.repeat(F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" ")), 600), 1, 3_000).alias("text"))
+    samples = language.learn(docs, per_lang=100)
+    assert len(samples) == 60 and {len(t) for _, t in samples} == {100}
