@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from keepwell.llm.columns import crc32_mod, id_and_text, pa_type, schema_of, slices
 from keepwell.llm.decontam import WORD
 
-#: Labelled documents that the weights are fitted on, about, for either label; a longer document is not used for fitting.
+#: Labelled documents that the weights are fitted on, about, for either label, and their bytes; fewer are drawn, whatever their length, if they are long, but about FIT_LEAST.
 FIT_ROWS = 3_000
-FIT_BYTES = 20_000
+FIT_BYTES = 12_000_000
+FIT_LEAST = 20
 #: Fitted documents that must have a feature.
 MIN_DOCS = 5
 #: Bytes of a word's beginning.
@@ -79,6 +80,16 @@ def fit(bags: list[list[list[bytes]]], labels: np.ndarray, weights: np.ndarray)
     return {b"": float(b), **{x: float(w[k]) for x, k in index.items() if abs(w[k]) > 1e-3}}
 
 
+def sample_rates(there: dict[int, tuple[int, int]], rows: int) -> list[float]:
+    """The share of the documents of label 0 and 1 to draw, from how many there are of each and their bytes."""
+    out = []
+    for label in (0, 1):
+        n, size = there.get(label, (0, 0))
+        wanted = min(rows / max(n, 1), FIT_BYTES / max(size, 1))
+        out.append(min(1.0, max(wanted, FIT_LEAST / max(n, 1))))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> dict[bytes, float]:
     """Weights from a bounded sample: about ``rows`` documents of either label, chosen by a hash of the id.
 
@@ -87,13 +98,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     sample) to the driver.  With no labelled text the bias alone is left.
     """
     asked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).alias("label"))
-    there = {r["label"]: r["n"] for r in asked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rates = [min(1.0, rows / max(there.get(k, 0), 1)) for k in (0, 1)]
+    texts = docs.select(docs[id_col].alias("of"), docs[text_col].cast("binary").alias("text")).where(F.octet_length("text") > 0)
+    sizes = texts.groupBy("of").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    there = asked.join(sizes, "of").groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rates = sample_rates({r["label"]: (r["n"], r["bytes"]) for r in there.collect()}, rows)
     rate = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     place = F.pmod(F.xxhash64("of"), F.lit(2**30)) / float(2**30)
     sample = asked.where(place < rate).select("of", "label", (1 / rate).alias("weight"))
     # The sample has about 2 * rows ids, whatever the size of the table.
-    texts = docs.select(docs[id_col].alias("of"), docs[text_col].cast("binary").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= FIT_BYTES))
     bags = texts.join(F.broadcast(sample), "of").select("of", "text", "label", "weight")
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:

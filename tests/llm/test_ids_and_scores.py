@@ -196,3 +196,24 @@ def test_a_language_whose_draw_is_short_is_drawn_again(spark):
     docs = spark.range(60 * 60).select(lang.alias("lang"), F.substring(F.repeat(F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" ")), 600), 1, 3_000).alias("text"))
     samples = language.learn(docs, per_lang=100)
     assert len(samples) == 60 and {len(t) for _, t in samples} == {100}
+
+
+def test_toxicity_is_fitted_on_long_texts(spark):
+    plain = [" ".join(f"word{(k * 7 + j) % 50}" for j in range(8)) + "." for k in range(400)]
+    docs = [(i, " ".join(plain[:200] + (["you are vile scum."] if i % 2 else []) + plain[200:])) for i in range(80)]
+    assert min(len(t) for _, t in docs) > 20_000
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert all((r.score >= 0.3) == (r.id % 2 == 1) for r in rows)
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 50_000)
+    seen = []
+    real = toxicity.sample_rates
+    monkeypatch.setattr(toxicity, "sample_rates", lambda there, rows: seen.append(real(there, rows)) or seen[-1])
+    docs = spark.createDataFrame([(i, "some words here. " * 100) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(400)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    assert seen[0][1] == 1.0 and seen[0][0] == pytest.approx(50_000 / (390 * 1_700))
