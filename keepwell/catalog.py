@@ -1072,7 +1072,7 @@ def k01_stratified_split(spark, sf_dir):
 def k12_model_comparison(spark, sf_dir):
     from .operators.train import compare_models
 
-    table, _, _, _ = compare_models(st(spark, sf_dir).features, light=True)
+    table, _, _, _ = compare_models(st(spark, sf_dir).features, cv_folds=5)
     return table
 
 
@@ -1080,7 +1080,7 @@ def k12_model_comparison(spark, sf_dir):
 def k18_quality_gates(spark, sf_dir):
     from .operators.train import compare_models, quality_gates
 
-    _, _, _, best = compare_models(st(spark, sf_dir).features, light=True)
+    _, _, _, best = compare_models(st(spark, sf_dir).features)
     rows = [(g, bool(p), float(o) if o is not None else None) for g, p, o in quality_gates(best)]
     return spark.createDataFrame(rows, "gate string, passed boolean, observed double")
 

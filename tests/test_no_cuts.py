@@ -35,3 +35,22 @@ def test_totals_of_nothing_are_one_row(spark):
     schema = "revenue_saved double, p_saved double, campaign_cost_total double, incremental_profit double, monthly_revenue double"
     rows = impact.impact_totals(spark.createDataFrame([], schema)).collect()
     assert len(rows) == 1 and rows[0].total_at_risk_users == 0 and rows[0].net_incremental_profit == 0
+
+
+def test_models_are_compared_with_full_settings(spark, monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from keepwell import catalog
+
+    zoo = train.model_zoo("weight", 100)
+    settings = {n: e.getNumTrees() if n == "random_forest" else e.getMaxIter() for n, e in zoo.items()}
+    assert settings == {"logistic_regression": 1000, "random_forest": 200, "gbt_a": 200, "gbt_b": 200, "gbt_c": 200}
+    assert "light" not in inspect.signature(train.compare_models).parameters
+    asked = []
+    best = {"roc_auc": 0.7, "f1": 0.5, "precision": 0.5, "recall": 0.5, "train_roc_auc": 0.8}
+    monkeypatch.setattr(train, "compare_models", lambda df, **how: asked.append(how) or (None, None, None, best))
+    monkeypatch.setattr(catalog, "st", lambda spark, d: SimpleNamespace(features=None))
+    catalog.k12_model_comparison(spark, "")
+    catalog.k18_quality_gates(spark, "")
+    assert asked == [{"cv_folds": 5}, {}]
