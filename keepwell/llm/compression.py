@@ -21,7 +21,7 @@ LEVEL = 3
 CHUNK = 4_096
 #: (bytes from, least ratio, greatest ratio) for whole texts.
 BANDS = ((0, 0.0, 2.0), (64, 0.75, 2.2), (256, 1.2, 2.5), (1_024, 1.6, 3.0), (4_096, 1.8, 3.5), (16_384, 1.9, 4.0))
-#: The same for every chunk of CHUNK bytes and for a last chunk of half of that or more.
+#: The same for every chunk of CHUNK bytes, the last one being the text's last CHUNK bytes, and for a shorter text of half of that or more.
 CHUNK_BAND = (1.5, 3.2)
 WINDOW = 5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -53,7 +53,8 @@ def ratios(data: bytes, compress) -> tuple[float | None, float | None, float | N
     """Of the whole text, then the least and the greatest of its chunks; None where there is nothing."""
     if not data:
         return None, None, None
-    parts = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
+    # The last chunk overlaps the one before, so that every byte of a long text is in a whole chunk.
+    parts = [data[max(0, min(at, len(data) - CHUNK)) :][:CHUNK] for at in range(0, len(data), CHUNK)]
     found = [len(p) / len(compress(p)) for p in parts if 2 * len(p) >= CHUNK]
     return len(data) / len(compress(data)), min(found, default=None), max(found, default=None)
 

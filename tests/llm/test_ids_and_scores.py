@@ -217,3 +217,21 @@ def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(400)], "doc_id long, toxic int")
     toxicity.learn(docs, labels)
     assert seen[0][1] == 1.0 and seen[0][0] == pytest.approx(50_000 / (390 * 1_700))
+
+
+def test_last_chunk_covers_the_end_of_the_text():
+    import base64
+    import random
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=compression.LEVEL).compress
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)]
+    clean = " ".join(rng.choices(vocabulary, k=3_000)).encode()[: 2 * compression.CHUNK]
+    noise = base64.b64encode(rng.randbytes(1_500))[:2_000]
+    whole, least, _ = compression.ratios(clean + noise, compress)
+    end = (clean + noise)[-compression.CHUNK :]
+    assert least == len(end) / len(compress(end)) < compression.ratios(clean, compress)[1]
+    assert compression.ratios(b"abc", compress)[1] is None
+    assert compression.ratios(clean[:3_000], compress)[1] == 3_000 / len(compress(clean[:3_000]))
