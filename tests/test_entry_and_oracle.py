@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 from keepwell.sources.tables import TABLE_NAMES
 
 SAMPLE = [

@@ -90,7 +90,7 @@ def test_monitored_batches_hold_all_customers_and_drift_in_part(spark):
     from keepwell.plans.batch import Stages
     from keepwell.plans.monitoring import batches
 
-    from conftest import SF_SMALL
+    from sf_dirs import SF_SMALL
 
     ref, prod = batches(Stages(spark, SF_SMALL))
     assert ref.count() == prod.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()

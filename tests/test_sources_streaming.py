@@ -8,7 +8,7 @@ from keepwell.plans.batch import Stages
 from keepwell.sources import readers
 from keepwell.streaming.scoring_stream import read_customer_stream, score_stream
 
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 
 
 def test_csv_and_sql_file_round_trip(spark):
