@@ -8,6 +8,7 @@ from keepwell.llm.compression import op6
 from keepwell.llm.language import op3
 from keepwell.llm.licences import op9
 from keepwell.llm.packing import op2
+from keepwell.llm.periods import op11
 from keepwell.llm.resampling import op1
 from keepwell.llm.simhash import op10
 from keepwell.llm.suffix_dedup import op5
@@ -30,6 +31,7 @@ QUERIES = {
     "op8_benchmark_decontamination": lambda spark, d: decontam.op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_license_scan": lambda spark, d: op9(table(spark, d, "documents")),
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: op11(table(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
