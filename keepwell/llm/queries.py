@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepwell.llm.columns import table
-from keepwell.llm import chat, decontam
+from keepwell.llm import chat, decontam, ranked
 from keepwell.llm.compression import op6
 from keepwell.llm.language import op3
 from keepwell.llm.licences import op9
@@ -32,9 +32,11 @@ QUERIES = {
     "op9_license_scan": lambda spark, d: op9(table(spark, d, "documents")),
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
     "op11_periodic_runs": lambda spark, d: op11(table(spark, d, "documents")),
+    "op12_ranked_search": lambda spark, d: ranked.op12(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 SQL: dict[str, str] = {
     "op7_perspective_rotation": chat.SQL,
     "op8_benchmark_decontamination": decontam.SQL,
+    "op12_ranked_search": ranked.SQL,
 }
