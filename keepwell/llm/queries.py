@@ -7,6 +7,7 @@ from keepwell.llm import chat, decontam, ranked
 from keepwell.llm.compression import op6
 from keepwell.llm.language import op3
 from keepwell.llm.licences import op9
+from keepwell.llm.main_text import op13
 from keepwell.llm.packing import op2
 from keepwell.llm.periods import op11
 from keepwell.llm.resampling import op1
@@ -33,6 +34,7 @@ QUERIES = {
     "op10_simhash_near_dedup": lambda spark, d: op10(table(spark, d, "documents")),
     "op11_periodic_runs": lambda spark, d: op11(table(spark, d, "documents")),
     "op12_ranked_search": lambda spark, d: ranked.op12(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_main_text": lambda spark, d: op13(table(spark, d, "pages")),
 }
 
 SQL: dict[str, str] = {
