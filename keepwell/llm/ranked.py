@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwell.llm.columns import held, slices
+from keepwell.llm.columns import slices
 from keepwell.llm.decontam import words_of
 from keepwell.session import written
 
