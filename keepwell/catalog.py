@@ -1354,17 +1354,72 @@ def g11_top_archetype(spark, sf_dir):
 
 @register("k11_cross_validation", None)
 def k11_cross_validation(spark, sf_dir):
-    from .operators.train import (PopulationScaler, class_weights, cross_validate, model_zoo, prepare,
-                                  stratified_split, with_weights)
+    from .operators.train import cross_validation
 
-    from .session import materialize
+    return cross_validation(st(spark, sf_dir).features)
 
-    s = st(spark, sf_dir)
-    split = stratified_split(s.features)
-    train = split.filter(~F.col("is_test"))
-    scaler = PopulationScaler().fit(train)
-    tr = prepare(with_weights(train, class_weights(train)), scaler).select("customer_id", "features", "label", "weight")
-    tr = materialize(tr)
-    est = model_zoo("weight", tr.count())["logistic_regression"]
-    m = cross_validate(est, tr, 5)
-    return spark.createDataFrame([(k + "_cv_mean", float(v)) for k, v in m.items()], "metric string, value double")
+
+# ------------------------------------------------------------------ K, M: the trained champion
+
+
+def _training(spark, sf_dir, **how):
+    from .plans.training import Training
+
+    return Training(st(spark, sf_dir), **how)
+
+
+@register("k13_champion", None)
+def k13_champion(spark, sf_dir):
+    return _training(spark, sf_dir).metadata()
+
+
+@register("k14_random_search", None)
+def k14_random_search(spark, sf_dir):
+    from .operators.train import random_search
+
+    table, _, _ = random_search(st(spark, sf_dir).features, "gbt_a")
+    return table
+
+
+@register("k16_champion_scores", None)
+def k16_champion_scores(spark, sf_dir):
+    return _training(spark, sf_dir).scoring().scored.select("customer_id", "churn_probability", "churn_risk_level")
+
+
+@register("k16_champion_recommendations", None)
+def k16_champion_recommendations(spark, sf_dir):
+    return _training(spark, sf_dir).recommendations()
+
+
+@register("k20_run_log", None)
+def k20_run_log(spark, sf_dir):
+    return _training(spark, sf_dir).log()
+
+
+def _one_model(spark, sf_dir, name: str):
+    """(its high-risk customers with their vector, the model, the training side) of one model of the zoo."""
+    from .operators.scoring import score_model
+    from .operators.train import Comparison, fit_together
+
+    features = st(spark, sf_dir).features
+    comparison = Comparison(features)
+    model = fit_together({name: comparison.jobs(False)[name, None]})[name]
+    vectors = comparison.scaler.transform(features).select("customer_id", "features")
+    high = score_model(vectors, model).filter(F.col("churn_probability") >= 0.5)
+    return high, model, comparison.train
+
+
+@register("m01_tree_attribution", None)
+def m01_tree_attribution(spark, sf_dir):
+    from .operators.tree_attribution import tree_attribution
+
+    high, model, _ = _one_model(spark, sf_dir, "gbt_a")
+    return tree_attribution(high, model).select("customer_id", "churn_probability", "base_value", F.inline("phi"))
+
+
+@register("m02_sampled_attribution", None)
+def m02_sampled_attribution(spark, sf_dir):
+    from .operators.sampled_attribution import background_rows, sampled_attribution
+
+    high, model, train = _one_model(spark, sf_dir, "logistic_regression")
+    return sampled_attribution(high, model, background_rows(train))

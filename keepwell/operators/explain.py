@@ -2,8 +2,7 @@
 
 For a linear log-odds model ``z = b + sum w_i x_i`` the exact additive
 attribution against a background mean is ``phi_i = w_i * (x_i - mean_i)``
-(pure column arithmetic).  The background means are one global aggregate
-(a scalar subquery per feature).  Per-customer top drivers are an in-row
+(pure column arithmetic).  The background means are one aggregate row.  Per-customer top drivers are an in-row
 ``array_sort`` + ``slice`` over the feature structs: no shuffle, no window.
 """
 
@@ -21,9 +20,15 @@ TOP_N = 5
 
 def linear_attribution(df: DataFrame, weights: dict = BASELINE_WEIGHTS, background: DataFrame | None = None,
                        features: list[str] = MODEL_FEATURES) -> DataFrame:
-    """M3: adds ``phi`` = array<struct<pos, feature, shap_value, feature_value>> in model feature order."""
+    """M3: adds ``phi`` = array<struct<pos, feature, shap_value, feature_value>> in model feature order.
+
+    The means of all weighted features are one aggregate row, read once.
+    """
     bg = background if background is not None else df
-    means = {f: bg.select(F.avg(F.col(f).cast("double"))).scalar() for f in features if weights.get(f)}
+    weighted = [f for f in features if weights.get(f)]
+    row = bg.agg(F.struct(*[F.avg(F.col(f).cast("double")).alias(f) for f in weighted]).alias("m")) if weighted else None
+    mean_row = row.scalar() if weighted else None
+    means = {f: mean_row[f] for f in weighted}
     items = []
     for i, f in enumerate(features):
         x = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
@@ -33,6 +38,11 @@ def linear_attribution(df: DataFrame, weights: dict = BASELINE_WEIGHTS, backgrou
     return df.withColumn("phi", F.array(*items))
 
 
+def attributed(df: DataFrame, **kw) -> DataFrame:
+    """``df`` with ``phi``: as it is if another attribution (M1) has given it, else by M3."""
+    return df if "phi" in df.columns else linear_attribution(df, **kw)
+
+
 def top_drivers(phi: Column, n: int = TOP_N) -> Column:
     """M4 / I4: top-n by |phi| desc; equal |phi| keep the reverse feature order (argsort reversed)."""
     ranked = F.array_sort(
@@ -58,7 +68,7 @@ def top_drivers(phi: Column, n: int = TOP_N) -> Column:
 
 def explain(df: DataFrame, **kw) -> DataFrame:
     """M4: customer_id, p (4 dp), primary_driver, top_drivers array."""
-    a = linear_attribution(df, **kw)
+    a = attributed(df, **kw)
     a = a.withColumn("top_drivers", top_drivers(F.col("phi")))
     return a.select(
         "customer_id",
@@ -97,7 +107,7 @@ def batch_explanations(df: DataFrame, threshold: float = 0.5, **kw) -> DataFrame
 
 def long_attribution(df: DataFrame, **kw) -> DataFrame:
     """Long table (customer_id, pos, feature, shap_value, feature_value)."""
-    a = linear_attribution(df, **kw)
+    a = attributed(df, **kw)
     return a.select("customer_id", "churn_probability", F.inline("phi"))
 
 

@@ -7,58 +7,22 @@ that task holds a third of the data.  Instead:
 1. pre-aggregate to distinct ``(group, key)`` rows with their measures, so a
    hot *value* becomes one row;
 2. range-partition on ``(group, key)`` so a hot *group* spreads over many
-   tasks, sort within partitions;
-3. ``mapInPandas`` computes running sums inside each partition (bounded
-   partition, vectorised pandas), carrying sums across Arrow batches;
-4. the per-(partition, group) totals form a small table; their prefix sums
-   (a window over at most #partitions rows per group) are the offsets that
-   are added back.
-
-Step 3's output is checkpointed (reliable, into ``spark.checkpoint.dir``) so
-the partition ids used in step 4 are stable under recomputation and lost
-executors.
+   parts, and keep each row's part;
+3. a window inside each (part, group) gives running sums of bounded stretches;
+4. the per-(part, group) totals form a small table; their prefix sums (a
+   window over at most #parts rows per group) are the offsets that are added.
+
+Step 2's output is checkpointed (reliable, into ``spark.checkpoint.dir``) so
+that the parts are not dealt anew when an executor is lost.  Everything runs
+inside the JVM; sums keep the measures' own type, so counts stay exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import ensure_checkpoint_dir
-
-
-def _local_cumsum_fn(group_cols: list[str], measures: list[str]):
-    def fn(batches):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        prev_key = None
-        prev_sums = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = list(zip(*[pdf[c].tolist() for c in group_cols])) if group_cols else [()] * len(pdf)
-            codes = pd.Series(pd.factorize(pd.Series(keys, dtype=object))[0], index=pdf.index)
-            vals = pdf[measures].astype("float64")
-            cs = vals.groupby(codes, sort=False).cumsum()
-            if prev_key is not None:
-                same = np.array([k == prev_key for k in keys])
-                # only the leading run of the carried group continues it
-                lead = np.logical_and.accumulate(same)
-                if lead.any():
-                    cs.loc[lead] = cs.loc[lead].to_numpy() + prev_sums
-            out = pdf.copy()
-            for m in measures:
-                out[f"cum_{m}"] = cs[m].to_numpy()
-            out["_pid"] = pid
-            prev_key = keys[-1]
-            prev_sums = cs.iloc[-1].to_numpy()
-            yield out
-
-    return fn
+from ..session import materialize
 
 
 def cumulative(
@@ -73,29 +37,28 @@ def cumulative(
 
     ``df`` must hold one row per ``(group, order_col)`` (pre-aggregate first).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    base = df.select(*group_cols, order_col, *[F.col(m).cast("double").alias(m) for m in measures])
-    s = base.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in group_cols], order).sortWithinPartitions(
-        *group_cols, order
-    )
-    fields = list(base.schema.fields) + [T.StructField(f"cum_{m}", T.DoubleType()) for m in measures]
-    fields.append(T.StructField("_pid", T.IntegerType()))
-    local = s.mapInPandas(_local_cumsum_fn(group_cols, measures), T.StructType(fields)).checkpoint(eager=True)
-
-    totals = local.groupBy("_pid", *group_cols).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.select(*group_cols, order_col, *measures)
+    dealt = base.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in group_cols], order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = dealt.withColumns({f"_cum_{m}": F.sum(m).over(inside) for m in measures})
+
+    totals = dealt.groupBy("_part", *group_cols).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
+    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g).alias(f"_of_{g}") for g in group_cols]
     offsets = totals.select(
-        "_pid", *group_cols, *[F.coalesce(F.sum(f"_tot_{m}").over(w), F.lit(0.0)).alias(f"_off_{m}") for m in measures]
+        F.col("_part").alias("_of_part"), *keys, *[F.sum(f"_tot_{m}").over(before).alias(f"_off_{m}") for m in measures]
     )
-    joined = local.join(offsets, ["_pid", *group_cols], "left") if group_cols else local.join(offsets, ["_pid"], "left")
-    return joined.select(
+    same = F.col("_part") == F.col("_of_part")
+    for g in group_cols:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return local.join(offsets, same, "left").select(
         *group_cols,
         order_col,
         *measures,
-        *[(F.col(f"cum_{m}") + F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures],
+        *[(F.col(f"_cum_{m}") + F.coalesce(F.col(f"_off_{m}"), F.lit(0))).alias(f"cum_{m}") for m in measures],
     )
 
 

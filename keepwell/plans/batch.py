@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +63,14 @@ def high_risk(df: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
 
 @dataclass
 class Stages:
-    """Lazily built stage frames over the test tables (B18 deterministic score)."""
+    """Lazily built stage frames over the test tables (B18 deterministic score, or a champion's)."""
 
     spark: SparkSession
     sf_dir: str
     threshold: float = HIGH_RISK
     materialized: bool = True
+    #: A fitted pipeline from raw customers to probabilities; without one the deterministic score is used.
+    champion: PipelineModel | None = None
 
     @cached_property
     def tables(self) -> Tables:
@@ -83,7 +86,7 @@ class Stages:
 
     @cached_property
     def scored(self) -> DataFrame:
-        s = scoring.score_baseline(self.features)
+        s = scoring.score_model(self.mart, self.champion) if self.champion else scoring.score_baseline(self.features)
         return s.withColumn("churn_risk_level", scoring.risk_level())
 
     @cached_property
