@@ -322,6 +322,18 @@ def e10_rule_hits(spark, sf_dir):
     return st(spark, sf_dir).decided_all.groupBy("rule_id").agg(F.count(F.lit(1)).alias("customers"))
 
 
+@register(
+    "d03_rule_match_by_tables",
+    chain("impacted", "SELECT customer_id, rule_id, action_code, urgency, expected_conversion_rate, action_cost_usd FROM impacted", high_risk=False),
+)
+def d03_rule_match_by_tables(spark, sf_dir):
+    from .operators.archetypes import classify
+    from .operators.rule_match import recommend_by_tables
+
+    out = recommend_by_tables(classify(st(spark, sf_dir).scored))
+    return out.select("customer_id", "rule_id", "action_code", "urgency", "expected_conversion_rate", "action_cost_usd")
+
+
 @register(
     "e11_fallback_share",
     chain(

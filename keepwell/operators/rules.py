@@ -240,14 +240,17 @@ def rules_frame(spark: SparkSession, rules: RuleSet | None = None) -> DataFrame:
 
 
 def conditions_frame(spark: SparkSession, rules: RuleSet | None = None) -> DataFrame:
-    """Conditions exploded to (rule_id, feature, op, threshold, threshold_text); text thresholds are in the last column."""
+    """Conditions exploded to (position, rule_id, feature, op, threshold, threshold_text).
+
+    Text thresholds are in the last column; an unknown operator is null.
+    """
     rules = rules or load_rules()
     rows = []
-    for r in rules.rules:
+    for position, r in enumerate(rules.rules):
         for k, v in r.conditions.items():
             op = next((s[1:] for s, _ in SUFFIX_OPS if k.endswith(s)), None)
             feat = k[: -(len(op) + 1)] if op else k
             text = v if isinstance(v, str) else None
-            rows.append((r.id, feat, op, None if text is not None else float(v), text))
-    schema = "rule_id string, feature string, op string, threshold double, threshold_text string"
+            rows.append((position, r.id, feat, op, None if text is not None else float(v), text))
+    schema = "position int, rule_id string, feature string, op string, threshold double, threshold_text string"
     return spark.createDataFrame(rows, schema)
