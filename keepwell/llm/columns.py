@@ -18,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """``make()``, kept by this Python worker until another key is asked for.
+
+    Tasks of one stage share it; what a worker built for an earlier stage goes
+    when the next large table is built, so that such tables do not add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exactly two columns, ``id`` and ``text`` (as UTF-8 bytes, null stays null); all others are left behind."""
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))

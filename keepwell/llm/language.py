@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.columns import crc32_mod, id_and_text, schema_of, slices
+from keepwell.llm.columns import crc32_mod, held, id_and_text, schema_of, slices
 
 #: Characters of labelled text per language, and over all languages.
 SAMPLE_CHARS = 30_000
@@ -170,9 +170,22 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_l
     return [(lang, "\n".join(t for _, t in sorted(texts))[:share]) for lang, texts in sorted(by_lang.items())]
 
 
-@lru_cache(maxsize=2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(list(samples))
+    return held(("parser", samples), lambda: Parser(list(samples)))
+
+
+def _judged(parser: Parser, column: pa.Array) -> list[tuple[str, float, float]]:
+    """(language, lead, mean phrase in characters) of each text of a string or binary column."""
+    texts = [codes((x or b"").decode("utf-8", "replace")) for x in column.cast(pa.binary()).to_pylist()]
+    out = []
+    for text, phrases in zip(texts, parser.phrases(texts), strict=True):
+        if not len(text) or not parser.langs:
+            out.append((UNKNOWN, 0.0, 0.0))
+            continue
+        first, *rest = np.argsort(phrases, kind="stable").tolist()
+        lead = 1 - phrases[first] / phrases[rest[0]] if rest else 1.0
+        out.append((parser.langs[first], float(lead), len(text) / int(phrases[first])))
+    return out
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,16 +204,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(known)
         for batch in slices(batches):
-            texts = [codes((x or b"").decode("utf-8", "replace")) for x in batch.column("text").to_pylist()]
-            counts = parser.phrases(texts)
-            out = []
-            for text, phrases in zip(texts, counts, strict=True):
-                if not len(text) or not known:
-                    out.append((UNKNOWN, 0.0, 0.0))
-                    continue
-                first, *rest = np.argsort(phrases, kind="stable").tolist()
-                lead = 1 - phrases[first] / phrases[rest[0]] if rest else 1.0
-                out.append((parser.langs[first], float(lead), len(text) / int(phrases[first])))
+            out = _judged(parser, batch.column("text"))
             cols = zip(*out, strict=True) if out else ([], [], [])
             kinds = (pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
@@ -219,14 +223,19 @@ def op3(docs: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(crc32_mod("id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "phrase_length")
 
 
-def recognised(docs: DataFrame, samples: list[tuple[str, str]], least_phrase: float = 1.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recognised(docs: DataFrame, samples: list[tuple[str, str]], least_phrase: float = 1.2, text_col: str = "text") -> DataFrame:
     """``docs`` without rows whose language cannot be told; all columns stay.
 
     Rejected are texts without letters and those whose mean phrase in the
     best language is shorter than ``least_phrase`` characters: hardly any two
     letters in a row occur in any known language.
     """
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    packed = docs.select(row.alias("row"), docs[text_col].alias("text"))
-    kept = identify(packed, samples, "row", "text").where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_length") >= least_phrase))
-    return kept.select(*[F.col(f"id.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    known = tuple(samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(known)
+        for batch in slices(batches, text_col):
+            kept = [lang != UNKNOWN and phrase >= least_phrase for lang, _, phrase in _judged(parser, batch.column(text_col))]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwell.llm.columns import id_and_text, schema_of, slices
+from keepwell.llm.columns import held, id_and_text, schema_of, slices
 from keepwell.session import materialize
 
 CAPACITY = 1024
@@ -76,12 +75,6 @@ class WordCoder:
             yield b"".join(parts)
 
 
-@lru_cache(maxsize=1)
-def _coder(path: str) -> WordCoder:
-    """One for each Python worker, so that its tasks share what it remembers."""
-    return WordCoder(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, nth[, ids]): each document's ids, cut after every ``capacity``.
 
@@ -94,7 +87,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(tokenizer)
+        # One for each Python worker, so that its tasks share what it remembers.
+        coder = held(("words", tokenizer), lambda: WordCoder(tokenizer))
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in slices(batches):
