@@ -154,7 +154,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     equal in words are found together; a repeated item id counts once; a null
     item id is called ``null``.  Spans are maximal, [start, end) in words.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    return _passes(id_and_text(docs, id_col, text_col), items, window, item_col, item_text)
+
+
+def _passes(rows: DataFrame, items: DataFrame, window: int, item_col: str, item_text: str, last: tuple | None = None) -> DataFrame:
+    """``find_contamination`` of (id, text) rows; ``last`` may give a schema and what to make of each batch of the last pass."""
     asked = items.select(F.coalesce(items[item_col].cast("string"), F.lit("null")).alias("name"), F.lower(items[item_text]).alias("low"), items[item_text].cast("binary").alias("words")).where("words is not null")
     held = asked.agg(F.sum(F.octet_length("words") + F.octet_length("name"))).first()[0] or 0
     blocks = max(1, -(-held // BLOCK_BYTES))
@@ -162,14 +166,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     out = rows.select("id", "text", F.lit(None).cast("long").alias("n_words"), F.array().cast(schema["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == k).select("name", "words").distinct()
-        out = _search(out, [(r["name"], bytes(r["words"])) for r in block.collect()], window, schema)
-        if blocks > 1:
+        out = _search(out, [(r["name"], bytes(r["words"])) for r in block.collect()], window, schema, last if k == blocks - 1 else None)
+        if k < blocks - 1:
             out = materialize(out)
     return out
 
 
-def _search(rows: DataFrame, items: list[tuple[str, bytes]], window: int, schema) -> DataFrame:
+def _search(rows: DataFrame, items: list[tuple[str, bytes]], window: int, schema, last: tuple | None) -> DataFrame:
     """One pass over the documents with one block of items, whose size is bounded."""
+    out_schema, finish = last or (schema, lambda batch: batch)
     shared = rows.sparkSession.sparkContext.broadcast(sorted(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +194,9 @@ def _search(rows: DataFrame, items: list[tuple[str, bytes]], window: int, schema
                 all_spans.append([{"start": a, "end": b} for a, b in merged])
                 all_items.append(sorted({*names, *(n for i in held for n in automaton.names[i])}))
             arrays = [batch.column("id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(all_spans, pa_type(schema["spans"].dataType)), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            yield finish(pa.RecordBatch.from_arrays(arrays, names=schema.names))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, out_schema)
 
 
 def judged(found: DataFrame, coverage: float = 0.05) -> DataFrame:
@@ -218,17 +223,23 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
 
     All columns stay.  Rows without hits keep their text as it is.
     """
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    packed = docs.select(row.alias("row"), docs[text_col].alias("text"))
-    found = judged(find_contamination(packed, items, window, "row", "text"), coverage).where(~F.col("contaminated"))
-    schema = schema_of(found, "id", ("text", "string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [without_spans(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts], pa.string())], names=["id", "text"])
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    packed = docs.select(row.alias("id"), docs[text_col].cast("binary").alias("text"))
+    schema = schema_of(packed, "id", ("text", "string"))
+    per = round(1 / coverage)
 
-    kept = found.select("id", "text", "spans").mapInArrow(run, schema)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stay, texts = [], []
+        for text, n_words, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "spans")), strict=True):
+            n_hit = sum(s["end"] - s["start"] for s in spans)
+            stay.append(n_hit == 0 or per * n_hit < n_words)
+            if stay[-1]:
+                left = without_spans(text, spans)
+                texts.append(None if left is None else left.decode("utf-8", "ignore"))
+        return pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(stay, pa.bool_())), pa.array(texts, pa.string())], names=["id", "text"])
+
+    # Cut by the worker that searches last: a second Python step would hold a second worker for each task.
+    kept = _passes(packed, items, window, "item_id", "text", (schema, cut))
     return kept.select(*[(F.col("text") if c == text_col else F.col(f"id.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 

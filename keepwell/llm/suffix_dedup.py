@@ -310,6 +310,23 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, batches: in
     return whole.unionByName(few).unionByName(many)
 
 
+def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """(id, packed, runs): each row's compressed text and the runs of its repeated windows, null without any."""
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} or more")
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
+    texts = _keyed(rows)
+    found = repeated_windows(rows, texts, length, batches).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    return texts.join(found, ["t1", "t2"], "left").select("id", "packed", "runs")
+
+
+def _cut(text: bytes, runs: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the spans that go."""
+    gone = merged_spans([(r["first"], r["first"] + r["n"] - 1 + length) for r in runs or ()])
+    edges = [0, *(x for span in gone for x in span), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if gone else text, gone
+
+
 def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(id, text, kept, spans): what is left of each row's bytes, and the maximal removed spans as [start, end).
 
@@ -319,27 +336,17 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     Repeated rows are copies of each other.  The order of rows and ties play
     no part.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} or more")
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
-    texts = _keyed(rows)
-    found = repeated_windows(rows, texts, length, batches).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    joined = texts.join(found, ["t1", "t2"], "left").select("id", "packed", "runs")
-    schema = schema_of(rows, "id", ("text", "binary"), ("kept", "binary"), ("spans", "array<struct<start:long,end:long>>"))
+    joined = _with_runs(docs, length, id_col, text_col, batches)
+    schema = schema_of(joined, "id", ("text", "binary"), ("kept", "binary"), ("spans", "array<struct<start:long,end:long>>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         kind = pa_type(schema["spans"].dataType)
         for batch in slices(batches, "packed"):
-            texts, kept, spans = [], [], []
-            for packed, runs in zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                text = unpack(packed)
-                texts.append(text)
-                gone = merged_spans([(r["first"], r["first"] + r["n"] - 1 + length) for r in runs or ()])
-                edges = [0, *(x for span in gone for x in span), len(text)]
-                kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if gone else text)
-                spans.append([{"start": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=schema.names)
+            texts = [unpack(x) for x in batch.column("packed").to_pylist()]
+            kept, spans = zip(*[_cut(t, r, length) for t, r in zip(texts, batch.column("runs").to_pylist(), strict=True)], strict=True)
+            named = [[{"start": a, "end": b} for a, b in gone] for gone in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary()), pa.array(kept, pa.binary()), pa.array(named, kind)], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
 
@@ -351,15 +358,23 @@ def without_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     is removed entirely goes; a row that had no text stays as it is.
     """
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
-    out = remove_repeated(docs.select(row.alias("row"), docs[text_col].alias("text"), docs[text_col].isNull().alias("none")).select(F.struct("row", "none").alias("row"), "text"), length, "row", "text")
-    schema = schema_of(out, "id", ("text", "string"))
+    rows = docs.select(row.alias("row"), docs[text_col].alias("text"), docs[text_col].isNull().alias("none"))
+    joined = _with_runs(rows.select(F.struct("row", "none").alias("row"), "text"), length, "row", "text", BATCHES)
+    schema = schema_of(joined, "id", ("text", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "packed"):
+            stay, texts = [], []
+            for packed, runs in zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                text = unpack(packed)
+                kept, _ = _cut(text, runs, length)
+                stay.append(bool(kept) or not text)
+                if stay[-1]:
+                    texts.append(kept.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(stay, pa.bool_())), pa.array(texts, pa.string())], names=["id", "text"])
 
-    kept = out.where((F.octet_length("kept") > 0) | (F.octet_length("text") == 0)).select("id", "kept").mapInArrow(run, schema)
+    kept = joined.mapInArrow(run, schema)
     text = F.when(F.col("id.none"), F.lit(None)).otherwise(F.col("text"))
     return kept.select(*[(text if c == text_col else F.col(f"id.row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
