@@ -1072,7 +1072,11 @@ def k02_class_weights(spark, sf_dir):
     return w.select("churned", rint_to(F.col("weight"), 6).alias("weight"))
 
 
-@register("k01_stratified_split", None)
+@register(
+    "k01_stratified_split",
+    chain("mart", "SELECT churned, is_test, CASE WHEN is_test THEN CAST(ceil(n * 0.2e0) AS BIGINT) ELSE n - CAST(ceil(n * 0.2e0) AS BIGINT) END AS rows"
+          " FROM (SELECT churned, count(*) AS n FROM mart GROUP BY churned) c, (VALUES (TRUE), (FALSE)) v(is_test)"),
+)
 def k01_stratified_split(spark, sf_dir):
     from .operators.train import stratified_split
 
@@ -1154,7 +1158,16 @@ def i04_top_k_drivers(spark, sf_dir):
     return ex.explain(d, background=bg).select("customer_id", F.inline("top_drivers")).select("customer_id", "rank", "feature")
 
 
-@register("m05_narrative", None)
+_BULLET = ("'  • ' || feature || ' (SHAP=' || printf('%+.3f', round(shap_value, 4)) || ') — '"
+           " || CASE WHEN shap_value > 0 THEN 'increases' ELSE 'decreases' END || ' churn risk'")
+
+
+@register(
+    "m05_narrative",
+    _m_chain(f"SELECT customer_id, 'Customer ' || customer_id || ' has a ' || printf('%.0f', round(any_value(churn_probability), 4) * 100)"
+             f" || '% churn probability.' || chr(10) || 'Top drivers:' || chr(10) || string_agg({_BULLET}, chr(10) ORDER BY rank)"
+             " AS narrative FROM topk GROUP BY customer_id"),
+)
 def m05_narrative(spark, sf_dir):
     ex, d, bg = _att(st(spark, sf_dir))
     return ex.narrative(ex.explain(d, background=bg))
@@ -1435,3 +1448,142 @@ def m02_sampled_attribution(spark, sf_dir):
 
     high, model, train = _one_model(spark, sf_dir, "logistic_regression")
     return sampled_attribution(high, model, background_rows(train))
+
+
+# ------------------------------------------------------------------ N: the report as a dataset
+
+_REPORT = {
+    "kpis": (
+        "''", ["customers", "total_revenue_saved", "avg_churn_probability", "total_cost", "net_profit", "report_roi_pct"], [],
+        "SELECT *, saved AS total_revenue_saved, saved * 0.7e0 - cost * 1.2e0 AS net_profit, cost AS total_cost,"
+        " (saved * 0.7e0 - cost * 1.2e0) / greatest(cost, 1e0) * 100 AS report_roi_pct FROM (SELECT count(*) AS customers,"
+        " coalesce(sum(expected_revenue_saved), 0e0) AS saved, avg(churn_probability) AS avg_churn_probability,"
+        " coalesce(sum(action_cost_usd), 0e0) AS cost FROM impacted) k",
+    ),
+    "archetypes": (
+        "churn_archetype", ["customers", "avg_churn_probability", "revenue_saved"], ["top_action", "archetype_name"],
+        "SELECT churn_archetype, customers, avg_churn_probability, revenue_saved, top_action, archetype_name FROM (SELECT churn_archetype,"
+        " count(*) AS customers, avg(churn_probability) AS avg_churn_probability, sum(expected_revenue_saved) AS revenue_saved,"
+        f" any_value(archetype_name) AS archetype_name {_NN_ARCH} GROUP BY churn_archetype) g LEFT JOIN {_MODE_SQL} m USING (churn_archetype)",
+    ),
+    "urgency": (
+        "urgency", ["count", "pct_of_total"], [],
+        "SELECT urgency, count(*) AS count, count(*) / (SELECT count(*) FROM impacted) * 100e0 AS pct_of_total FROM impacted"
+        " WHERE urgency IS NOT NULL GROUP BY urgency",
+    ),
+    "top_customers": (
+        "customer_id", ["monthly_revenue", "churn_probability", "expected_revenue_saved"], ["subscription_type", "archetype_name", "action"],
+        "SELECT * FROM impacted ORDER BY expected_revenue_saved DESC, customer_id LIMIT 10",
+    ),
+    "importance": ("feature", ["mean_abs_shap"], [], "SELECT * FROM imp ORDER BY mean_abs_shap DESC, pos LIMIT 10"),
+    "actions": (
+        "action", ["count", "total_rev_saved", "avg_conversion"], [],
+        "SELECT action, count(*) AS count, round_even(sum(expected_revenue_saved), 3) AS total_rev_saved,"
+        " round_even(avg(expected_conversion_rate), 3) AS avg_conversion FROM impacted WHERE action IS NOT NULL GROUP BY action",
+    ),
+}
+
+
+def _report_sql(section: str) -> str:
+    item, numbers, texts, body = _REPORT[section]
+    parts = [f"{{'metric': '{c}', 'value': round_even(CAST({c} AS DOUBLE), 6), 'text': CAST(NULL AS VARCHAR)}}" for c in numbers]
+    parts += [f"{{'metric': '{c}', 'value': CAST(NULL AS DOUBLE), 'text': {c}}}" for c in texts]
+    return f"SELECT '{section}' AS section, {item} AS item, unnest([{', '.join(parts)}], recursive := true) FROM ({body}) t_{section}"
+
+
+@register("n01_report", _m_chain(" UNION ALL ".join(f"SELECT * FROM ({_report_sql(x)}) s_{x}" for x in _REPORT)))
+def n01_report(spark, sf_dir):
+    """The report of this run, written and read back, as one long table."""
+    from functools import reduce
+    from uuid import uuid4
+
+    from .plans.report import read_report, report_tables, write_report
+    from .session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark)}/report-{uuid4().hex}"
+    version = write_report(report_tables(st(spark, sf_dir)), folder)
+    parts = []
+    for section, table in read_report(spark, folder, version).items():
+        item, numbers, texts, _ = _REPORT[section]
+        none = F.lit(None)
+        cells = [F.struct(F.lit(c).alias("metric"), rint_to(F.col(c).cast("double"), 6).alias("value"), none.cast("string").alias("text")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("metric"), none.cast("double").alias("value"), F.col(c).alias("text")) for c in texts]
+        name = F.lit("") if item == "''" else F.col(item)
+        parts.append(table.select(F.lit(section).alias("section"), name.alias("item"), F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------------------------ G15: page queries
+
+
+def _star(spark, sf_dir):
+    from .plans import star
+
+    s = st(spark, sf_dir)
+    return star, s, star.fact_predictions(s)
+
+
+@register(
+    "g15_revenue_at_risk_by_subscription",
+    _g_chain("SELECT i.subscription_type, count(*) FILTER (WHERE f.churn_probability >= 0.5e0) AS customers_at_risk,"
+             " round_even(sum(i.monthly_revenue * 12) FILTER (WHERE f.churn_probability >= 0.5e0), 6) AS revenue_at_risk"
+             " FROM fact f JOIN impacted i USING (customer_id) GROUP BY i.subscription_type"),
+)
+def g15_revenue_at_risk_by_subscription(spark, sf_dir):
+    star, s, fact = _star(spark, sf_dir)
+    out = star.revenue_at_risk_by_subscription(fact, star.dim_customers(s.decided))
+    return out.select("subscription_type", "customers_at_risk", *r6("revenue_at_risk"))
+
+
+@register(
+    "g15_archetype_tier_matrix",
+    chain("impacted", "SELECT churn_archetype, " + ", ".join(f"count(*) FILTER (WHERE clv_tier = '{t}') AS {t.lower()}" for t in ("Enterprise", "High", "Medium", "Low"))
+          + " FROM impacted WHERE churn_archetype IS NOT NULL GROUP BY churn_archetype"),
+)
+def g15_archetype_tier_matrix(spark, sf_dir):
+    from .plans.star import archetype_tier_matrix
+
+    return archetype_tier_matrix(st(spark, sf_dir).decided)
+
+
+@register(
+    "g15_riskiest_with_action",
+    _g_chain("SELECT customer_id, round_even(churn_probability, 6) AS churn_probability, churn_risk_level, a.action_name, a.channel, a.urgency,"
+             f" expected_revenue_saved FROM (SELECT * FROM fact ORDER BY churn_probability DESC, customer_id LIMIT 20) f LEFT JOIN {_actions_sql()} a USING (action_id)"),
+)
+def g15_riskiest_with_action(spark, sf_dir):
+    star, _, fact = _star(spark, sf_dir)
+    out = star.riskiest_with_action(fact, star.dim_actions(spark))
+    return out.withColumn("churn_probability", rint_to(F.col("churn_probability"), 6))
+
+
+@register(
+    "g15_roi_by_archetype",
+    _g_chain("SELECT archetype_id, round_even(sum(expected_revenue_saved), 6) AS revenue_saved, round_even(sum(action_cost_usd), 6) AS cost,"
+             " round_even(CASE WHEN sum(action_cost_usd) = 0 THEN 0e0 ELSE (sum(expected_revenue_saved) - sum(action_cost_usd)) / sum(action_cost_usd) END, 6)"
+             " AS roi FROM fact GROUP BY archetype_id"),
+)
+def g15_roi_by_archetype(spark, sf_dir):
+    star, _, fact = _star(spark, sf_dir)
+    return star.roi_by_archetype(fact).select("archetype_id", *r6("revenue_saved", "cost", "roi"))
+
+
+@register(
+    "g15_funnel",
+    _g_chain("SELECT step, stage, round_even(customers, 6) AS customers FROM (SELECT unnest([{'step': 1, 'stage': 'at_risk', 'customers': CAST(n AS DOUBLE)},"
+             " {'step': 2, 'stage': 'contacted', 'customers': n * 0.85e0}, {'step': 3, 'stage': 'converted', 'customers': c * 0.85e0}], recursive := true)"
+             " FROM (SELECT count(*) AS n, coalesce(sum(expected_conversion_rate), 0e0) AS c FROM fact WHERE churn_probability >= 0.5e0) s) t"),
+)
+def g15_funnel(spark, sf_dir):
+    star, _, fact = _star(spark, sf_dir)
+    return star.funnel(fact).select("step", "stage", *r6("customers"))
+
+
+@register(
+    "g15_trend_by_date",
+    _g_chain("SELECT date_id, round_even(avg(churn_probability), 6) AS avg_churn_probability, count(*) AS customers, CAST(date_id // 10000 AS INT) AS year,"
+             " CAST(date_id // 100 % 100 AS INT) AS month, CAST(weekofyear(strptime(CAST(date_id AS VARCHAR), '%Y%m%d')) AS INT) AS week FROM fact GROUP BY date_id"),
+)
+def g15_trend_by_date(spark, sf_dir):
+    star, s, fact = _star(spark, sf_dir)
+    return star.trend_by_date(fact, star.dim_date(s)).withColumn("avg_churn_probability", rint_to(F.col("avg_churn_probability"), 6))

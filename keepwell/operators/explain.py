@@ -78,19 +78,24 @@ def explain(df: DataFrame, **kw) -> DataFrame:
     )
 
 
+def _formatted(x: Column, pattern: str) -> Column:
+    """A number by a decimal pattern: its exact value to the nearest, a tie to the even digit."""
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def narrative(explained: DataFrame) -> DataFrame:
     """M5: text with the probability and one bullet per driver."""
+    value = lambda d: _formatted(d["shap_value"], "+0.000;-0.000")
     bullets = F.array_join(
         F.transform(
             F.col("top_drivers"),
-            lambda d: F.format_string("  • %s (SHAP=%+.3f) — %s churn risk", d["feature"], d["shap_value"], d["direction"]),
+            lambda d: F.concat(F.lit("  • "), d["feature"], F.lit(" (SHAP="), value(d), F.lit(") — "), d["direction"], F.lit(" churn risk")),
         ),
         "\n",
     )
+    percent = _formatted(F.col("churn_probability") * 100, "0")
     text = F.concat(
-        F.format_string("Customer %s has a %.0f%% churn probability.\nTop drivers:\n", F.col("customer_id"),
-                        F.col("churn_probability") * 100),
-        bullets,
+        F.lit("Customer "), F.col("customer_id"), F.lit(" has a "), percent, F.lit("% churn probability.\nTop drivers:\n"), bullets
     )
     return explained.select("customer_id", text.alias("narrative"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.archetypes import archetype_dim
 from ..operators.rules import load_rules, rules_frame
+from ..operators.value import CLV_TIER_ORDER
 from .batch import Stages
 
 
@@ -114,3 +115,57 @@ def top_archetype(fact: DataFrame, customers: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("churn_probability") >= 0.5, F.col("monthly_revenue") * 12)).alias("revenue_at_risk")
     )
     return g.orderBy(F.desc("revenue_at_risk"), "archetype_id").limit(1)
+
+
+# ------------------------------------------------------------------ G15: page queries
+
+REACH = 0.85  # share of at-risk customers that a campaign reaches
+
+
+def revenue_at_risk_by_subscription(fact: DataFrame, customers: DataFrame) -> DataFrame:
+    """Yearly revenue of customers at p >= .5, by subscription."""
+    j = fact.select("customer_id", "churn_probability").join(customers.select("customer_id", "subscription_type", "monthly_revenue"), "customer_id")
+    at_risk = F.col("churn_probability") >= 0.5
+    return j.groupBy("subscription_type").agg(
+        F.count_if(at_risk).alias("customers_at_risk"), F.sum(F.when(at_risk, F.col("monthly_revenue") * 12)).alias("revenue_at_risk")
+    )
+
+
+def archetype_tier_matrix(decided: DataFrame) -> DataFrame:
+    """Customers per archetype (rows) and CLV tier (columns, best first)."""
+    counts = [F.count_if(F.col("clv_tier") == t).alias(t.lower()) for t in CLV_TIER_ORDER]
+    return decided.filter(F.col("churn_archetype").isNotNull()).groupBy("churn_archetype").agg(*counts)
+
+
+def riskiest_with_action(fact: DataFrame, actions: DataFrame, n: int = 20) -> DataFrame:
+    """The n customers with the highest probability, with the action planned for them."""
+    top = fact.orderBy(F.desc("churn_probability"), "customer_id").limit(n)
+    return top.join(F.broadcast(actions.select("action_id", "action_name", "channel", "urgency")), "action_id", "left").select(
+        "customer_id", "churn_probability", "churn_risk_level", "action_name", "channel", "urgency", "expected_revenue_saved"
+    )
+
+
+def roi_by_archetype(fact: DataFrame) -> DataFrame:
+    """G8 for each archetype."""
+    saved, cost = F.sum("expected_revenue_saved"), F.sum("action_cost_usd")
+    return fact.groupBy("archetype_id").agg(
+        saved.alias("revenue_saved"), cost.alias("cost"), F.when(cost == 0, F.lit(0.0)).otherwise((saved - cost) / cost).alias("roi")
+    )
+
+
+def funnel(fact: DataFrame, reach: float = REACH) -> DataFrame:
+    """At risk, contacted, converted: expected customers of each step, in one conditional pass."""
+    at_risk = F.col("churn_probability") >= 0.5
+    steps = fact.agg(
+        F.count_if(at_risk).cast("double").alias("at_risk"),
+        (F.count_if(at_risk) * F.lit(reach)).alias("contacted"),
+        (F.coalesce(F.sum(F.when(at_risk, F.col("expected_conversion_rate"))), F.lit(0.0)) * reach).alias("converted"),
+    )
+    names = ("at_risk", "contacted", "converted")
+    return steps.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(c).alias("stage"), F.col(c).alias("customers")) for i, c in enumerate(names)])))
+
+
+def trend_by_date(fact: DataFrame, dates: DataFrame) -> DataFrame:
+    """Mean probability and customers of each prediction day."""
+    by_day = fact.groupBy("date_id").agg(F.avg("churn_probability").alias("avg_churn_probability"), F.count(F.lit(1)).alias("customers"))
+    return by_day.join(dates.select("date_id", "year", "month", "week"), "date_id", "left")
