@@ -1395,15 +1395,8 @@ def _training(spark, sf_dir, **how):
 
 @register("k13_champion", None)
 def k13_champion(spark, sf_dir):
-    return _training(spark, sf_dir).metadata()
-
-
-@register("k14_random_search", None)
-def k14_random_search(spark, sf_dir):
-    from .operators.train import random_search
-
-    table, _, _ = random_search(st(spark, sf_dir).features, "gbt_a")
-    return table
+    # A boosted champion is tuned by random search before it is saved; its metadata are those of the comparison.
+    return _training(spark, sf_dir, tune=True).metadata()
 
 
 @register("k16_champion_scores", None)
@@ -1425,11 +1418,13 @@ def _one_model(spark, sf_dir, name: str):
     """(its high-risk customers with their vector, the model, the training side) of one model of the zoo."""
     from .operators.scoring import score_model
     from .operators.train import Comparison, fit_together
+    from .session import materialize
 
     features = st(spark, sf_dir).features
     comparison = Comparison(features)
     model = fit_together({name: comparison.jobs(False)[name, None]})[name]
-    vectors = comparison.scaler.transform(features).select("customer_id", "features")
+    # Read several times, and kept apart from the long expressions of the features.
+    vectors = materialize(comparison.scaler.transform(features).select("customer_id", "features"))
     high = score_model(vectors, model).filter(F.col("churn_probability") >= 0.5)
     return high, model, comparison.train
 

@@ -21,7 +21,7 @@ from ..operators import explain, train
 from ..operators.pipeline import champion_metadata, load_champion, save_champion, with_classifier
 from ..operators.sampled_attribution import background_rows, sampled_attribution
 from ..operators.tree_attribution import tree_attribution
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from .batch import Stages, recommendations
 
 
@@ -71,6 +71,7 @@ class Training:
         champion, classifier = load_champion(self.saved), self.champion.stages[-1]
         scored = champion.transform(self.stages.mart).withColumn("churn_probability", vector_to_array(F.col("probability"))[1])
         high = scored.filter(F.col("churn_probability") >= self.stages.threshold).select("customer_id", "churn_probability", "features")
+        high = materialize(high)  # read more than once, and kept apart from the long expressions of the features
         if hasattr(classifier, "trees"):
             return tree_attribution(high, champion.stages[-1]).drop("base_value")
         split = train.stratified_split(self.stages.mart)

@@ -29,7 +29,7 @@ def test_every_query_has_oracle_or_is_documented():
     assert set(sqls) <= set(qs)
     # The optional subpackage's own tests hold its queries without SQL against plain versions.
     assert set(qs) - set(sqls) - set(entry.LLM_QUERIES) <= {"k11_cross_validation", "k12_model_comparison",
-                                   "k13_champion", "k14_random_search", "k16_champion_scores", "k16_champion_recommendations", "k20_run_log",
+                                   "k13_champion", "k16_champion_scores", "k16_champion_recommendations", "k20_run_log",
                                    "m01_tree_attribution", "m02_sampled_attribution",
                                    "k18_quality_gates"}
 
