@@ -1582,3 +1582,88 @@ def g15_funnel(spark, sf_dir):
 def g15_trend_by_date(spark, sf_dir):
     star, s, fact = _star(spark, sf_dir)
     return star.trend_by_date(fact, star.dim_date(s)).withColumn("avg_churn_probability", rint_to(F.col("avg_churn_probability"), 6))
+
+
+# ------------------------------------------------------------------ A: round trips through sources and sinks
+
+
+def _folder(spark, name: str) -> str:
+    from uuid import uuid4
+
+    from .session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+_CUSTOMER_COLS = MART_COLS[1:]
+
+
+@register("a01_csv_round_trip", chain("mart", f"SELECT {', '.join(_CUSTOMER_COLS)} FROM mart"))
+def a01_csv_round_trip(spark, sf_dir):
+    """The raw snapshot as CSV, read back by the checked reader."""
+    from .sources.readers import read_checked, write_table
+
+    path = _folder(spark, "customers-csv")
+    write_table(st(spark, sf_dir).mart.select(*_CUSTOMER_COLS), path, "csv")
+    return read_checked(spark, path).accepted.select(*_CUSTOMER_COLS)
+
+
+_BROKEN = "CASE WHEN c_custkey % 11 = 0 THEN 'malformed' WHEN c_custkey % 7 = 0 THEN 'customer_id is missing' ELSE 'accepted' END"
+
+
+@register("a08_bad_records", chain("mart", f"SELECT {_BROKEN} AS reason, count(*) AS records FROM mart GROUP BY 1"))
+def a08_bad_records(spark, sf_dir):
+    """JSON records of which every 11th is broken and every 7th has no id: counts of the accepted and the rejected ones."""
+    from .sources.readers import read_checked
+
+    path = _folder(spark, "customers-json")
+    mart = st(spark, sf_dir).mart
+    record = F.to_json(F.struct(*[F.when(F.col("c_custkey") % 7 != 0, F.col(c)).alias(c) if c == "customer_id" else F.col(c) for c in _CUSTOMER_COLS]))
+    broken = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("{"), record)).otherwise(record)
+    mart.select(broken.alias("value")).write.text(path)
+    return read_checked(spark, path, "json").counts()
+
+
+@register(
+    "a08_records_with_defaults",
+    chain("mart", "SELECT customer_id, CASE WHEN c_custkey % 5 = 0 THEN 8 ELSE sessions_30d END AS sessions_30d,"
+          " CASE WHEN c_custkey % 3 = 0 THEN 199e0 ELSE monthly_revenue END AS monthly_revenue, ticket_count FROM mart"),
+)
+def a08_records_with_defaults(spark, sf_dir):
+    from .sources.readers import read_records_json
+
+    path = _folder(spark, "records-json")
+    holes = {"sessions_30d": F.when(F.col("c_custkey") % 5 != 0, F.col("sessions_30d")), "monthly_revenue": F.when(F.col("c_custkey") % 3 != 0, F.col("monthly_revenue"))}
+    st(spark, sf_dir).mart.withColumns(holes).select(*_CUSTOMER_COLS).write.json(path)
+    return read_records_json(spark, path).select("customer_id", "sessions_30d", "monthly_revenue", "ticket_count")
+
+
+def _sink_query(name: str, of: str, write):
+    """The rows of query ``of`` through a sink and back."""
+    rows_of, sql = QUERIES[of]
+
+    @register(name, sql)
+    def q(spark, sf_dir):
+        from .sources.readers import read_table
+
+        rows, path = rows_of(spark, sf_dir), _folder(spark, name)
+        write(rows, path)
+        return read_table(spark, path).select(*rows.columns)
+
+
+def _write_parquet(rows, path):
+    from .sources.readers import write_table
+
+    write_table(rows, path)
+
+
+def _write_stamped(rows, path):
+    from .sources.readers import write_stamped
+
+    write_stamped(rows, path)
+
+
+_sink_query("a10_engineered_features_sink", "b13_feature_transformer", _write_parquet)
+_sink_query("a12_explanation_sink", "m06_batch_explanation", _write_parquet)
+_sink_query("a12_importance_sink", "m07_global_importance", _write_parquet)
+_sink_query("a13_drift_report_sink", "j10_drift_report", _write_stamped)
