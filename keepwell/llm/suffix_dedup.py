@@ -207,13 +207,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts_and_runs: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, t1, t2, place): each window of the runs given per text, its bytes as 128 bits."""
+    """The windows of the runs given per text, by their bytes as 128 bits, after what a slice of texts tells by itself.
+
+    A window that a slice holds more than once is repeated whatever others
+    hold: runs of such windows come as (t1, t2, first, n) without a hash.  And
+    each different window of the slice comes once as (h1, h2, copies), with its
+    place if it is the only one.  So a passage that very many texts share costs
+    one row for each slice and window, not one for each text and window.
+    """
+    names = ["h1", "h2", "copies", "t1", "t2", "first", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         digest = xxhash.xxh3_128_digest
         seen: set[tuple[int, int]] = set()
         for batch in slices(batches, "packed"):
+            hashes, places, sizes, keys = [], [], [], []
             for t1, t2, packed, runs in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "packed", "runs")), strict=True):
                 if (t1, t2) in seen:  # a copy of a text that this task has handled
                     continue
@@ -221,11 +230,27 @@ def _windows(texts_and_runs: DataFrame, length: int) -> DataFrame:
                 text = unpack(packed)
                 for r in runs:
                     place = np.arange(r["first"], r["first"] + r["n"])
-                    h = np.frombuffer(b"".join([digest(text[i : i + length]) for i in place.tolist()]), dtype=np.int64).reshape(-1, 2)
-                    k = len(place)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(k, t1)), pa.array(np.full(k, t2)), pa.array(place)], names=["h1", "h2", "t1", "t2", "place"])
-
-    return texts_and_runs.select("id", "t1", "t2", "packed", "runs").mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, place long")
+                    hashes += [digest(text[i : i + length]) for i in place.tolist()]
+                    places.append(place)
+                    sizes.append(len(place))
+                    keys.append((t1, t2))
+            if not hashes:
+                continue
+            h = np.frombuffer(b"".join(hashes), dtype=[("h1", "<i8"), ("h2", "<i8")])
+            place, row = np.concatenate(places), np.repeat(np.arange(len(sizes)), sizes)
+            t1, t2 = np.array(keys, dtype=np.int64).T
+            _, at, of, copies = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(copies[of] > 1)
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(again) != 1) | (np.diff(row[again]) != 0)))) if len(again) else again
+            many = np.diff(np.append(starts, len(again)))
+            begin = again[starts]
+            none, count = np.zeros(len(begin), dtype=bool), np.concatenate((copies, np.zeros(len(begin), dtype=np.int64)))
+            hashed = np.concatenate((np.ones(len(at), dtype=bool), none))
+            rows = np.concatenate((at, begin))
+            columns = [pa.array(h["h1"][rows], mask=~hashed), pa.array(h["h2"][rows], mask=~hashed), pa.array(count), *(pa.array(x) for x in (t1[row[rows]], t2[row[rows]], place[rows], np.concatenate((np.ones(len(at), dtype=np.int64), many))))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts_and_runs.select("id", "t1", "t2", "packed", "runs").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _contents(texts_and_runs: DataFrame, length: int) -> DataFrame:
@@ -304,10 +329,12 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int, batches: in
         return texts.join(rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("sig", "first", "n", "single")).alias("runs")), ["t1", "t2"])
 
     few = _compared(_contents(with_texts(asked.where(F.col("runs") <= TOGETHER)), length), length)
-    windows = _windows(with_texts(asked.where(F.col("runs") > TOGETHER)), length)
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2")
-    many = windows.join(again, ["h1", "h2"]).select("t1", "t2", F.col("place").alias("first"), F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(few).unionByName(many)
+    windows = written(_windows(with_texts(asked.where(F.col("runs") > TOGETHER)), length))
+    alike = windows.where("h1 is null").select("t1", "t2", "first", "n")
+    hashed = windows.where("h1 is not null")
+    again = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("copies")).where("copies > 1").select("h1", "h2")
+    alone = hashed.where("copies = 1").join(again, ["h1", "h2"]).select("t1", "t2", "first", "n")
+    return whole.unionByName(few).unionByName(alike).unionByName(alone)
 
 
 def _with_runs(docs: DataFrame, length: int, id_col: str, text_col: str, batches: int) -> DataFrame:
