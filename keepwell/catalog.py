@@ -901,6 +901,19 @@ def j04_ks_pvalue(spark, sf_dir):
     return drift.ks_table(drift.both_sides(ref, prod, MODEL_FEATURES)).select("feature", "ks_pvalue")
 
 
+_EXACT_SQL = """SELECT z.feature, CASE WHEN n_ref < 5 OR n_prod < 5 OR k = 0 THEN 1e0 ELSE round(least(1e0, 2 * (
+  SELECT sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(2 * lgamma(n_ref + 1e0) - lgamma(n_ref - i * k + 1e0) - lgamma(n_ref + i * k + 1e0)))
+  FROM range(1, CAST(n_ref // greatest(k, 1) AS BIGINT) + 1) t(i))), 4) END AS ks_pvalue
+FROM (SELECT feature, n_ref, n_prod, CAST(round(coalesce(d, 0) * n_ref) AS BIGINT) AS k FROM sizes LEFT JOIN ksd USING (feature)) z"""
+
+
+# Both batches hold all customers, so the sides are equally large, for which the count of paths has a closed form.
+@register("j04_ks_exact_pvalue", monitoring_chain(MODEL_FEATURES, _EXACT_SQL))
+def j04_ks_exact_pvalue(spark, sf_dir):
+    drift, ref, prod = _mon(st(spark, sf_dir))
+    return drift.ks_table(drift.both_sides(ref, prod, MODEL_FEATURES), exact=True).select("feature", "ks_pvalue")
+
+
 @register("j05_feature_drift", monitoring_chain(MODEL_FEATURES, "SELECT * FROM fdrift"))
 def j05_feature_drift(spark, sf_dir):
     drift, ref, prod = _mon(st(spark, sf_dir))
@@ -933,8 +946,9 @@ FROM (SELECT count(*) FILTER (WHERE psi >= 0.2e0) AS n_major, count(*) FILTER (W
 @register("j08_overall_status", monitoring_chain(MODEL_FEATURES, _STATUS_SQL))
 def j08_overall_status(spark, sf_dir):
     drift, ref, prod = _mon(st(spark, sf_dir))
-    fd = drift.feature_drift(ref, prod, MODEL_FEATURES)
-    dq = drift.data_quality(ref, prod, MODEL_FEATURES)
+    both = drift.counted(drift.both_sides(ref, prod, MODEL_FEATURES))
+    fd = drift.feature_drift(ref, prod, MODEL_FEATURES, both)
+    dq = drift.data_quality(ref, prod, MODEL_FEATURES, both)
     pdr = drift.prediction_drift(ref.select("churn_probability"), prod.select("churn_probability"))
     return drift.overall_status(fd, dq, pdr)
 

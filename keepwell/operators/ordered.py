@@ -69,8 +69,13 @@ def grouped_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs:
     """
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counts = vals.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = cumulative(counts, group_cols, "_v", ["cnt"])
-    sizes = counts.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
+    return quantiles_of(cumulative(counts, group_cols, "_v", ["cnt"]), group_cols, "_v", "cnt", qs)
+
+
+def quantiles_of(cum: DataFrame, group_cols: list[str], value_col: str, count_col: str, qs: list[float]) -> DataFrame:
+    """``grouped_quantiles`` from the running totals of counts that ``cumulative`` gives; values with a count of 0 play no part."""
+    cum = cum.select(*group_cols, F.col(value_col).alias("_v"), F.col(count_col).alias("cnt"), F.col(f"cum_{count_col}").alias("cum_cnt"))
+    sizes = cum.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
     # target positions per group: a bounded array (2 per quantile)
     targets = sizes.select(
         *group_cols,

@@ -97,3 +97,42 @@ def test_monitored_batches_hold_all_customers_and_drift_in_part(spark):
     psi = {r["feature"]: r["psi"] for r in drift.psi_table(drift.both_sides(ref, prod, ["tenure_months", "sessions_30d", "api_usage"])).collect()}
     assert psi["tenure_months"] == 0.0
     assert psi["api_usage"] >= 0.25
+
+
+def _paths_pvalue(a, b):
+    """The share of all orders of the two samples whose ECDFs come as far apart as these."""
+    from itertools import combinations
+
+    n, m = len(a), len(b)
+    steps = max(abs(sum(x <= v for x in a) * m - sum(x <= v for x in b) * n) for v in (*a, *b))
+    far = total = 0
+    for first in combinations(range(n + m), n):
+        i = reach = 0
+        for k in range(n + m):
+            i += k in first
+            reach = max(reach, abs(i * m - (k + 1 - i) * n))
+        total += 1
+        far += reach >= steps
+    return far / total
+
+
+def test_exact_pvalue_equals_all_paths(spark):
+    rng = np.random.default_rng(4)
+    for n, m in ((5, 5), (5, 7), (6, 8), (7, 6), (5, 9)):
+        for spread in (3, 6, 50):
+            a, b = rng.integers(0, spread, n).tolist(), rng.integers(0, spread, m).tolist()
+            both = spark.createDataFrame([("ref", "x", float(v)) for v in a] + [("prod", "x", float(v)) for v in b], "side string, feature string, value double")
+            steps = max(abs(sum(x <= v for x in a) * m - sum(x <= v for x in b) * n) for v in (*a, *b))
+            assert abs(drift.exact_ks_pvalue(n, m, steps) - _paths_pvalue(a, b)) < 1e-12
+            if spread == 6:
+                assert drift.ks_table(both, exact=True).first().ks_pvalue == round(_paths_pvalue(a, b), 4)
+
+
+def test_exact_pvalue_of_large_sides_is_near_the_asymptotic_one(spark, monkeypatch):
+    # 4 dp of the asymptotic form for 2,000 and 3,000 rows
+    assert abs(drift.exact_ks_pvalue(2000, 3000, int(0.04 * 6_000_000)) - 0.0432) < 0.002
+    assert drift.exact_ks_pvalue(4000, 4000, 4000 * 4000) == 0.0 and drift.exact_ks_pvalue(3000, 3000, 0) == 1.0
+    monkeypatch.setattr(drift, "KS_EXACT_ROWS", 5)
+    rows = [("ref", "x", float(k)) for k in range(8)] + [("prod", "x", float(k) + 2) for k in range(8)]
+    long = spark.createDataFrame(rows, "side string, feature string, value double")
+    assert drift.ks_table(long, exact=True).first() == drift.ks_table(long).first()
