@@ -46,15 +46,75 @@ IDENTIFIERS = {
 PERMITTED = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc-by", "cc0", "public-domain"})
 TAG = "spdx-license-identifier:"
 _TOKEN = re.compile(r"[()]|[a-z0-9.+:-]+")
+_PART = re.compile(r"[()]|[,;/|&]+|[a-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Signs between licences: alternatives by a slash or bar, all of a list.
+_SIGNS = {"/": "or", "|": "or", "||": "or", ",": "and", ";": "and", "&": "and", "&&": "and"}
+
+
+def _fits(identifier: str) -> list[str]:
+    return [k for k in IDENTIFIERS if identifier == k or identifier.startswith((k + "-", k + "+"))]
 
 
 def label_of(identifier: str) -> str:
     """The label of a licence identifier; an unknown one is its own label."""
-    fits = [k for k in IDENTIFIERS if identifier == k or identifier.startswith((k + "-", k + "+"))]
+    fits = _fits(identifier)
     return IDENTIFIERS[max(fits, key=len)] if fits else identifier
 
 
+def plausible(word: str) -> bool:
+    """Whether a word can name a licence or exception: a known one, or letters with a digit or hyphen."""
+    return bool(_fits(word)) or (any(c.isalpha() for c in word) and any(c.isdigit() or c == "-" for c in word) and ":" not in word)
+
+
+def expression_of(line: str) -> str:
+    """The licence expression that a line begins with, in plain operators; empty if it begins with none.
+
+    Licences in a list are all meant, those beside a slash or bar are
+    alternatives, and one that follows another without any operator is meant
+    too.  The expression ends before the first word that can name no licence,
+    with the operator that led there.
+    """
+    out: list[str] = []
+    opened, by_sign = 0, False
+    for part in _PART.findall(line):
+        operand_next = not out or out[-1] in _RANK or out[-1] == "("
+        operator = _SIGNS.get(part, part)
+        if part[0] in ",;/|&":
+            if operator in _RANK and not operand_next:
+                out.append(operator)
+                by_sign = True
+        elif operator in _RANK:
+            if operand_next and out and by_sign:
+                out.pop()  # a comma before the word itself
+            out.append(operator)
+            by_sign = False
+        elif part == "(":
+            if not operand_next:
+                break
+            out.append(part)
+            opened += 1
+        elif part == ")":
+            if not opened:
+                break
+            if operand_next and by_sign and out[-1] in _RANK:
+                out.pop()
+            out.append(part)
+            opened -= 1
+        elif not plausible(part):
+            if operand_next and out and out[-1] in _RANK:
+                out.pop()
+            break
+        else:
+            if not operand_next:
+                out.append("and")
+            out.append(part)
+            by_sign = False
+    if out and by_sign and out[-1] in _RANK:
+        out.pop()
+    return " ".join(out)
+
+
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order; None if it is no expression."""
     out: list[str] = []
@@ -95,9 +155,10 @@ def evaluate(expression: str, permitted: frozenset[str] = PERMITTED) -> tuple[fr
     """The labels that an expression names, and whether ``permitted`` licences satisfy it.
 
     ``or`` needs one side, ``and`` both; ``with`` adds an exception to the
-    licence on its left, which stays what it is.
+    licence on its left, which stays what it is.  None if the text does not
+    begin with an expression.
     """
-    order = postfix(expression)
+    order = postfix(expression_of(expression))
     if order is None:
         return None
     stack: list[tuple[frozenset[str], bool]] = []
@@ -155,7 +216,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``expressions`` the tagged expressions that parse, with their labels and
     whether the policy permits them.  ``permitted`` is null without any find,
     else whether all labels of notices and all expressions are permitted.
-    Null counts as empty.
+    Null counts as empty.  Repeated rows are treated alike, each for itself; an
+    empty table gives no rows; other columns do not matter.
     """
     rows = id_and_text(docs, id_col, text_col)
     finds = "array<struct<label:string,word:long,n:long,base:boolean>>"

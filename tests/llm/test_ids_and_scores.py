@@ -153,6 +153,20 @@ def test_licence_expressions():
     assert licences.evaluate("mit or gpl-2.0-only") == ({"mit", "gpl"}, True)
     assert licences.evaluate("mit and gpl-2.0+ with classpath-exception-2.0") == ({"mit", "gpl"}, False)
     assert licences.evaluate("cc-by-nc-4.0") == ({"cc-by-nc"}, False)
+    for line, want in {
+        "mit, gpl-2.0": ({"mit", "gpl"}, False),
+        "mit/gpl-2.0": ({"mit", "gpl"}, True),
+        "mit gpl-2.0": ({"mit", "gpl"}, False),
+        "gpl-2.0 or later": ({"gpl"}, False),
+        "mit, or apache-2.0 */": ({"mit", "apache"}, True),
+        "(mit; bsd-3-clause,) and see the file": ({"mit", "bsd"}, True),
+        "mit (see licence)": ({"mit"}, True),
+        "gpl-2.0 with classpath-exception-2.0, mit": ({"gpl", "mit"}, False),
+        "licenseref-own-1": ({"licenseref-own-1"}, False),
+    }.items():
+        assert licences.evaluate(line) == want, line
+    for line in ("see license", "", "and mit", "mit and and bsd-2-clause", "(mit or", "/ ,", "https://example.org"):
+        assert licences.evaluate(line) is None, line
 
 
 def test_licence_scan(spark, odd, none):
@@ -169,11 +183,18 @@ def test_licence_scan(spark, odd, none):
     assert (rows[4].n_words, rows[4].n_base, rows[4].first_word, rows[4].labels, rows[4].score) == (0, 0, None, "", 0.0)
     assert licences.op9(odd).count() == odd.count() and licences.op9(none).count() == 0
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts_by_id = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     docs = {r.doc_id: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.translate(lower)) for r in table(spark, SF, "documents").collect()}
     for r in licences.op9(table(spark, SF, "documents")).collect():
         w = docs[r.doc_id]
         places = [(i, v) for p, v in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({v for _, v in places})))
+        notices = {v for p, v in (licences.BASE | licences.NOTICES).items() if f" {p} " in f" {' '.join(w)} "}
+        tagged = [licences.evaluate(m) for m in re.findall(r"(?i)spdx-license-identifier:([^\n]*)", texts_by_id[r.doc_id])]
+        found = [t for t in tagged if t is not None]
+        assert r.labels == ",".join(sorted(notices.union(*(t[0] for t in found))))
+        allowed = notices <= licences.PERMITTED and all(t[1] for t in found)
+        assert r.permitted == (allowed if notices or found else None)
         assert (r.first_word, r.last_word) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
 
 
