@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from keepwell.operators import train
 from keepwell.operators.metrics import average_precision, grouped_metrics, roc_auc, threshold_metrics
 from keepwell.operators.pipeline import Standardise, feature_pipeline, load_pipeline, save_pipeline
+from keepwell.operators.sampled_attribution import background_rows
+from keepwell.plans import training
 from keepwell.plans.batch import Stages
 from keepwell.plans.training import Training
 from keepwell.schema import MODEL_FEATURES
@@ -133,7 +135,8 @@ score_model(spark.read.parquet(customers), load_champion(folder)).select("custom
 """
 
 
-def test_champion_is_saved_scored_and_explained(spark, stages, small, tmp_path):
+def test_champion_is_saved_scored_and_explained(spark, stages, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "background_rows", lambda rows: background_rows(rows, n=5))
     run = Training(stages, folder=str(tmp_path / "champion"))
     meta = run.metadata().first()
     assert meta.champion_model == run.compared[3]["model"] and meta.feature_names == MODEL_FEATURES
