@@ -75,10 +75,17 @@ class WordCoder:
             yield b"".join(parts)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, task, nth[, ids]): each document's ids, cut after every ``capacity``.
+def cuts(n: int, capacity: int, short_first: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of ``n`` ids: all of ``capacity`` but the last one, or but the first one."""
+    ends = [*range(n % capacity or capacity, n + 1, capacity)] if short_first else [*range(capacity, n, capacity), n]
+    return [*zip([0, *ends], ends, strict=False)]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, short_first: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, task, nth[, ids]): each document's ids, cut into pieces of ``capacity``.
 
     A document is its text's ids and then ``end_id``; null counts as empty.
+    What is left over is the last piece, or the first one with ``short_first``.
     ``nth`` counts the pieces of one length within one task.
     """
     rows = id_and_text(docs, id_col, text_col)
@@ -96,11 +103,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             rows, out = [], []
             for row, ids in enumerate(coder.encode(texts)):
                 ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
+                for piece, (at, to) in enumerate(cuts(len(ids) // 4, capacity, short_first)):
+                    part, n = ids[4 * at : 4 * to], to - at
                     rows.append(row)
-                    out.append((piece, at // 4, n, zlib.crc32(part), task, int(seen[n]), part))
+                    out.append((piece, at, n, zlib.crc32(part), task, int(seen[n]), part))
                     seen[n] += 1
             cols = list(zip(*out, strict=True))[: 7 if keep_ids else 6]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -218,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def op2(docs: DataFrame, tokenizer: str) -> DataFrame:
+def op2(docs: DataFrame, tokenizer: str, short_first: bool = False) -> DataFrame:
     """The contract's columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    out = pack(pieces(docs, tokenizer))
+    out = pack(pieces(docs, tokenizer, short_first=short_first))
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

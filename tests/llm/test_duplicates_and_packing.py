@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keepwell.llm import chat, decontam, packing, simhash, suffix_dedup
+from keepwell.llm import chat, decontam, packing, queries, simhash, suffix_dedup
 from keepwell.llm.columns import table
 from keepwell.llm.components import connected_components
 
@@ -163,6 +163,27 @@ def test_packing(spark, odd, none):
     assert packing.op2(none, BPE).count() == 0
 
 
+def test_query_leaves_only_the_first_piece_short(spark, tmp_path):
+    """The contract: longer documents are cut into 1024-token pieces, of which the first may be shorter."""
+    tokenizer = Tokenizer.from_file(BPE)
+    texts = {1: "one two three", 2: "w" + " w" * 2500, 3: "w" + " w" * 2046, 4: None, 5: "w" + " w" * 1023, 6: "w" + " w" * 1022}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for k, text in texts.items():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        starts = [a for a in range(len(ids) % -1024, len(ids), 1024)]
+        for piece, a in enumerate(starts):
+            part = ids[max(a, 0) : a + 1024]
+            want.add((k, piece, max(a, 0), len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())))
+    out = queries.QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    at = defaultdict(int)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 1024
+
+
 def test_words_beyond_memory_are_encoded_alike(monkeypatch):
     texts = ["some words and more words", "more other words here", " odd  spaces\tand words "]
     whole = list(packing.WordCoder(BPE).encode(texts))
