@@ -30,6 +30,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a task remembers; further words are encoded anew in each slice.
 REMEMBERED = 1_000_000
+#: Words encoded by one call.
+WORDS_AT_ONCE = 200
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -47,17 +49,30 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: By id: whether the token begins with a space, which byte-level BPE writes as this letter.
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.opens[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; of many words at once, whose ids a space divides again."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            (raw,) = self._ids([" " + " ".join(part)])
+            starts = (np.flatnonzero(self.opens[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
+            out.extend(raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True))
+        return out
+
     def _known(self, words: set[str], memory: dict[str, bytes | None], before: str) -> dict[str, bytes | None]:
         new = [w for w in words if w not in memory]
         safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         found: dict[str, bytes | None] = dict.fromkeys(new)
-        found.update(zip(safe, self._ids([before + w for w in safe]), strict=True))
+        found.update(zip(safe, self._ids_after_space(safe) if before else self._ids(safe), strict=True))
         if len(memory) < REMEMBERED:
             memory.update(found)
             return memory
@@ -71,7 +86,7 @@ class WordCoder:
             parts = [first[words[0]], *map(later.__getitem__, words[1:])]
             if None in parts:
                 head, *rest = _SAFE_SPACE.split(text)
-                parts = self._ids([head, *(" " + x for x in rest)])
+                parts = [*self._ids([head]), *self._ids_after_space(rest)]
             yield b"".join(parts)
 
 
