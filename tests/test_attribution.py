@@ -131,3 +131,25 @@ def test_explanations_take_any_attribution(rows, forest):
     first = {r.customer_id: max(r.phi, key=lambda p: (abs(p.shap_value), p.pos)).feature for r in out.collect()}
     assert {r.customer_id: r.primary_driver for r in said} == first
     assert sorted(r.feature for r in explain.global_importance(out).collect()) == NAMES
+
+
+def test_margins_of_a_logistic_regression_give_the_values_of_all_its_prefixes(spark, rows):
+    model = LogisticRegression(maxIter=20, regParam=0.01, weightCol="w").fit(rows)
+    background = background_rows(rows, n=15)
+    part = rows.filter("customer_id like 'c1%'").limit(30)
+    other = rows.limit(2)
+    # A key that comes twice with other features, one that comes twice with the same, and one that is null.
+    some = part.unionByName(part.limit(3)).unionByName(other.withColumn("customer_id", F.lit("c11")))
+    some = some.unionByName(other.withColumn("customer_id", F.lit(None).cast("string")))
+    some = spark.createDataFrame(some.collect(), some.schema)
+    fast = sampled_attribution(some, model, background, per_row=2, names=NAMES)
+    # Not a row for each draw and prefix: the only generator gives the features.
+    assert fast._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    slow = sampled_attribution(some, model, background, per_row=2, names=NAMES, value=vector_to_array(F.col("probability"))[1])
+    assert fast.dtypes == slow.dtypes
+    order = lambda r: (r.customer_id, r.pos, r.feature_value, r.shap_value)
+    a, b = sorted(fast.collect(), key=order), sorted(slow.collect(), key=order)
+    assert len(a) == len(b) == 6 * (some.count() - 2)
+    for r, t in zip(a, b, strict=True):
+        assert (r.customer_id, r.pos, r.feature, r.feature_value) == (t.customer_id, t.pos, t.feature, t.feature_value)
+        assert abs(r.shap_value - t.shap_value) < 1e-12 and abs(r.std_error - t.std_error) < 1e-12
