@@ -168,3 +168,19 @@ def test_run_log_appends(spark, stages, small, tmp_path):
     assert all(r.n_records == stages.mart.count() and 0 < r.churn_rate < 1 for r in whole)
     assert len(json.loads(whole[0].metrics)["comparison"]) == len(small_zoo())
     assert json.loads(next(r for r in rows if r.run_name == "gbt_a").params)["maxDepth"] == 2
+
+
+def test_scores_are_computed_once_for_all_metrics(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def scored(x):
+        seen.add(1)
+        return x / 50
+
+    rows = spark.createDataFrame([(k % 2, float(k), float(k % 3 == 0)) for k in range(50)], "g int, x double, label double")
+    out = grouped_metrics(rows.withColumn("p", F.udf(scored, "double")("x")), ["g"], "p", "label").collect()
+    assert len(out) == 2 and seen.value == 50
+
+
+def test_more_rows_give_larger_tasks_before_more_tasks():
+    assert [train.parts_of(n) for n in (0, 12_000, 50_001, 720_000, 4_320_000, 8_000_000, 432_000_000)] == [1, 1, 2, 15, 16, 16, 864]
