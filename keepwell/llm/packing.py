@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +33,15 @@ END_ID = 2
 REMEMBERED = 1_000_000
 #: Words encoded by one call.
 WORDS_AT_ONCE = 200
+#: Text handled at once; each of its different words is looked up once.
+SLICE_BYTES = 8_000_000
+#: Texts whose ids are put together by one gather.
+TEXTS_AT_ONCE = 500
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordCoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, with each different word encoded once.
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes; a different word is looked up once for each call of ``encode``.
 
     Byte-level BPE cuts a text before every single space that stands between
     two characters that are no white space, so what stands between such
@@ -52,8 +57,8 @@ class WordCoder:
         #: By id: whether the token begins with a space, which byte-level BPE writes as this letter.
         self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.opens[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,26 +73,50 @@ class WordCoder:
             out.extend(raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True))
         return out
 
-    def _known(self, words: set[str], memory: dict[str, bytes | None], before: str) -> dict[str, bytes | None]:
-        new = [w for w in words if w not in memory]
-        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        found: dict[str, bytes | None] = dict.fromkeys(new)
-        found.update(zip(safe, self._ids_after_space(safe) if before else self._ids(safe), strict=True))
+    def _known(self, words: list[str], memory: dict[str, bytes], before: str) -> list[bytes]:
+        """The ids of each word; none for one that begins or ends with white space, or is empty."""
+        out = list(map(memory.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        safe = [k for k in new if (w := words[k]) and not w[0].isspace() and not w[-1].isspace()]
+        for k in new:
+            out[k] = b""
+        texts = [words[k] for k in safe]
+        for k, ids in zip(safe, self._ids_after_space(texts) if before else self._ids(texts), strict=True):
+            out[k] = ids
         if len(memory) < REMEMBERED:
-            memory.update(found)
-            return memory
-        return {w: memory[w] if w in memory else found[w] for w in words}
+            memory.update((words[k], out[k]) for k in new)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split(" ") for t in texts]
-        first = self._known({w[0] for w in split}, self.first, "")
-        later = self._known({x for w in split for x in w[1:]}, self.later, " ")
-        for text, words in zip(texts, split, strict=True):
-            parts = [first[words[0]], *map(later.__getitem__, words[1:])]
-            if None in parts:
-                head, *rest = _SAFE_SPACE.split(text)
-                parts = [*self._ids([head]), *self._ids_after_space(rest)]
-            yield b"".join(parts)
+        if not texts:
+            return
+        split = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        # The first word of a text has no space before it.
+        opening, at = np.unique(codes[bounds[:-1]], return_inverse=True)
+        codes[bounds[:-1]] = len(words) + at
+        ids = [*self._known(words, self.later, " "), *self._known([words[k] for k in opening.tolist()], self.first, "")]
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        odd = sizes == 0
+        starts = np.cumsum(sizes) - sizes
+        # By text: its words' ids one after the other; some texts at once, so that the gather stays small.
+        for a in range(0, len(texts), TEXTS_AT_ONCE):
+            b = min(a + TEXTS_AT_ONCE, len(texts))
+            part = codes[bounds[a] : bounds[b]]
+            many = sizes[part]
+            ends = np.concatenate(([0], np.cumsum(many)))
+            raw = pool[np.repeat(starts[part] - ends[:-1], many) + np.arange(ends[-1])]
+            strange = np.concatenate(([0], np.cumsum(odd[part])))
+            cut = bounds[a : b + 1] - bounds[a]
+            for k, x, y in zip(range(a, b), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if strange[x] < strange[y]:
+                    head, *rest = _SAFE_SPACE.split(texts[k])
+                    yield b"".join([*self._ids([head]), *self._ids_after_space(rest)])
+                else:
+                    yield raw[ends[x] : ends[y]].tobytes()
 
 
 def cuts(n: int, capacity: int, short_first: bool = False) -> list[tuple[int, int]]:
@@ -113,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         coder = held(("words", tokenizer), lambda: WordCoder(tokenizer))
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             texts = [(x or b"").decode("utf-8", "replace") for x in batch.column("text").to_pylist()]
             rows, out = [], []
             for row, ids in enumerate(coder.encode(texts)):
