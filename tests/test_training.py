@@ -184,3 +184,17 @@ def test_scores_are_computed_once_for_all_metrics(spark):
 
 def test_more_rows_give_larger_tasks_before_more_tasks():
     assert [train.parts_of(n) for n in (0, 12_000, 50_001, 720_000, 4_320_000, 8_000_000, 432_000_000)] == [1, 1, 2, 15, 16, 16, 864]
+
+
+def test_folds_are_dealt_only_for_a_cross_validation(stages, small, monkeypatch):
+    dealt = []
+    folds_of = train.stratified_folds
+    monkeypatch.setattr(train, "stratified_folds", lambda df, folds: dealt.append(folds) or folds_of(df, folds))
+    train.compare_models(stages.features)
+    assert dealt == []
+    train.compare_models(stages.features, cv_folds=2)
+    assert dealt == [2]
+    # Fits of the whole training side are shared, with and without folds.
+    plain, crossed = train.Comparison(stages.features, folds=0), train.Comparison(stages.features, folds=2)
+    assert plain.name == crossed.name and "fold" not in plain.train.columns
+    assert set(plain.jobs(False)) == {(m, None) for m in small_zoo()}
