@@ -64,7 +64,9 @@ class Training:
 
     def scoring(self) -> Stages:
         """The decision stages over the same tables, scored by the champion as it was saved."""
-        return Stages(self.stages.spark, self.stages.sf_dir, self.stages.threshold, self.stages.materialized, load_champion(self.saved))
+        stages = Stages(self.stages.spark, self.stages.sf_dir, self.stages.threshold, self.stages.materialized, load_champion(self.saved))
+        stages.mart = self.stages.mart  # the customers that were trained on, not derived from the tables again
+        return stages
 
     def attribution(self) -> DataFrame:
         """High-risk customers by the saved champion: customer_id, churn_probability, phi."""

@@ -198,3 +198,12 @@ def test_folds_are_dealt_only_for_a_cross_validation(stages, small, monkeypatch)
     plain, crossed = train.Comparison(stages.features, folds=0), train.Comparison(stages.features, folds=2)
     assert plain.name == crossed.name and "fold" not in plain.train.columns
     assert set(plain.jobs(False)) == {(m, None) for m in small_zoo()}
+
+
+def test_champion_scores_the_customers_it_was_trained_on(stages, small, tmp_path, monkeypatch):
+    from keepwell.plans import batch
+
+    run = Training(stages, folder=str(tmp_path / "champion"))
+    want = {r.customer_id for r in stages.mart.select("customer_id").collect()}
+    monkeypatch.setattr(batch, "customer_mart", None)  # not derived from the tables a second time
+    assert {r.customer_id for r in run.scoring().scored.select("customer_id").collect()} == want
