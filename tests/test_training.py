@@ -4,6 +4,7 @@ import json
 import os
 import subprocess
 import sys
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -207,3 +208,14 @@ def test_champion_scores_the_customers_it_was_trained_on(stages, small, tmp_path
     want = {r.customer_id for r in stages.mart.select("customer_id").collect()}
     monkeypatch.setattr(batch, "customer_mart", None)  # not derived from the tables a second time
     assert {r.customer_id for r in run.scoring().scored.select("customer_id").collect()} == want
+
+
+def test_all_fits_of_a_small_training_side_run_at_once(stages, small, monkeypatch):
+    assert [train.fits_at_once(n) for n in (12_000, 50_001, 100_001, 720_000, 432_000_000)] == [24, 12, 8, 8, 8]
+    comparison = train.Comparison(stages.features, folds=4)
+    together = Barrier(len(comparison.jobs(True)), timeout=60)  # 15 fits, none of which begins before all are there
+    for kind in (GBTClassifier, LogisticRegression, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, fit=kind.fit: together.wait() >= 0 and fit(self, rows))
+    monkeypatch.setattr(train, "_FITTED", {})
+    models, found = comparison.results(True)
+    assert len(models) == 15 and not together.broken and all(found[run]["roc_auc"] is not None for run in found)
